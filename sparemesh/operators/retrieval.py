@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import first_true
+from .textjoin import anchor, pieces
 
 # Words that narrow a valve or flange request to a kind, in this order.
 SUB_TYPES = {"VALVE": ("GATE", "BALL", "GLOBE", "CHECK", "BUTTERFLY"), "FLANGE": ("WN", "BLIND", "SO")}
@@ -126,15 +127,10 @@ def _word_hits(items: DataFrame, shapes: DataFrame, limit: int, broadcast_words:
             .drop("words", "__text")
         )
     else:
-        anchored = words.withColumn("__piece", F.substring(F.regexp_extract("find_word", r"([^%_\\]{3,})", 1), 1, 3))
-        last = F.greatest(F.length("__text") - 2, F.lit(1))
-        pieces = F.array_distinct(
-            F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("__text"), i, F.lit(3))))
-        )
+        run = F.regexp_extract("find_word", r"([^%_\\\\]{3,})", 1)
+        left = items.withColumn("__text", text).withColumn("__piece", F.explode(pieces(F.col("__text"))))
         found = (
-            items.withColumn("__text", text)
-            .withColumn("__piece", F.explode(pieces))
-            .join(anchored, [*KEYS, "__piece"])
+            left.join(words.withColumn("__piece", anchor(run)), [*KEYS, "__piece"])
             .filter(contains_like(F.col("__text"), F.col("find_word")))
             .drop("__text", "__piece")
         )
