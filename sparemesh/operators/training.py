@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .ordering import hash_order, hash_positions
 
 # Spellings used when spans of known attributes are looked up in descriptions.
@@ -196,18 +197,15 @@ def group_split(rows: DataFrame, group: str = "canonical_id", share: float = 0.1
 def area_under_curve(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Rank-based AUC, ties count half.
 
-    Counts per distinct score come from a map-side aggregate. Negatives below each score are running
-    sums: inside score bands by a window, across bands (at most 1,000, by the score's share of the
-    observed range) by a window over one row per band.
+    Counts per distinct score come from a map-side aggregate and are range-partitioned by score into
+    the checkpoint folder. Negatives below a score are a running sum inside its partition plus the
+    sums of the partitions before, which are one row per partition.
     """
     counts = scored.groupBy(score).agg(
         F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__n")
     )
-    ends = scored.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    banded = counts.crossJoin(F.broadcast(ends)).withColumn(  # one row
-        "__band", F.least(F.lit(999), F.floor((F.col(score) - F.col("__lo")) / width * 1000)).cast("int")
-    )
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    banded = checkpointed(counts.repartitionByRange(parts, score).withColumn("__band", F.spark_partition_id()))
     inside = Window.partitionBy("__band").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     bands = banded.groupBy("__band").agg(F.sum("__n").alias("__band_n"))
     across = Window.partitionBy(F.lit(0)).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)  # one row per band

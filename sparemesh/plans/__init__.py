@@ -1 +1,21 @@
+"""Derived tables and the registered queries."""
 
+from __future__ import annotations
+
+
+def _load() -> None:
+    from . import match_queries, stock_queries  # noqa: F401
+
+
+def all_queries() -> dict:
+    from .registry import QUERIES
+
+    _load()
+    return dict(QUERIES)
+
+
+def all_sql() -> dict[str, str]:
+    from .registry import SQL
+
+    _load()
+    return dict(SQL)
