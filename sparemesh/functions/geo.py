@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,18 +51,21 @@ def point(pair) -> Column:
 def named_point(*texts: Column, mode: str = "first", default: Column | None = None) -> Column:
     """Coordinates of the depot whose name occurs in one of the texts.
 
-    The table is a fixed 35-row literal, so this is a chain of conditions, not a join. ``mode``
+    The table is a fixed 35-row literal array that is filtered per row, so there is no join. ``mode``
     picks the first or the last entry of the table when several names occur.
     """
-    rows = DEPOTS if mode == "first" else tuple(reversed(DEPOTS))
+    table = F.from_json(F.lit(json.dumps([{"name": n.lower(), "lat": a, "lon": o} for n, a, o in DEPOTS])), F.lit("array<struct<name:string,lat:double,lon:double>>"))
     lowered = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
-    chain = None
-    for name, lat, lon in rows:
-        hit = lowered[0].contains(name.lower())
+
+    def named(depot):
+        hit = F.contains(lowered[0], depot["name"])
         for t in lowered[1:]:
-            hit = hit | t.contains(name.lower())
-        chain = F.when(hit, point((lat, lon))) if chain is None else chain.when(hit, point((lat, lon)))
-    return chain if default is None else chain.otherwise(default)
+            hit = hit | F.contains(t, depot["name"])
+        return hit
+
+    found = F.try_element_at(F.filter(table, named), F.lit(1 if mode == "first" else -1))
+    spot = F.when(found.isNotNull(), F.struct(found["lat"].alias("lat"), found["lon"].alias("lon")))
+    return spot if default is None else F.coalesce(spot, default)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

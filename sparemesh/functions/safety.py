@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .attributes import DOMAINS
-from .values import clamp01, first_true, group, lookup, not_blank, quoted
+from .values import clamp01, first_true, group, let, lookup, not_blank, quoted
 
 # Corrosion rank of a grade word.
 METAL_RANKS = {
@@ -32,11 +30,13 @@ ALLOY_UPGRADES = {
 
 def metal_rank(value: Column) -> Column:
     text = F.trim(F.regexp_replace(F.regexp_replace(F.upper(value), "[^A-Z0-9 ]", " "), r"(?U)\s+", " "))
-    pairs = [
-        (text.rlike(f"(?<![A-Z0-9]){quoted(word)}(?![A-Z0-9])"), rank)
-        for word, rank in sorted(METAL_RANKS.items(), key=lambda kv: len(kv[0]), reverse=True)
-    ]
-    return first_true(pairs + [(text.rlike("(?<![A-Z0-9])STAINLESS(?![A-Z0-9])"), 2)])
+    ordered = sorted(METAL_RANKS.items(), key=lambda kv: len(kv[0]), reverse=True)
+
+    def rank(t):
+        pairs = [(t.rlike(f"(?<![A-Z0-9]){quoted(word)}(?![A-Z0-9])"), r) for word, r in ordered]
+        return first_true(pairs + [(t.rlike("(?<![A-Z0-9])STAINLESS(?![A-Z0-9])"), 2)])
+
+    return let(text, rank)
 
 
 def metals_compatible(query: Column, candidate: Column, query_rank: Column, candidate_rank: Column) -> Column:

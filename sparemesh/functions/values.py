@@ -91,3 +91,8 @@ def last_of(array: Column) -> Column:
 def item(array: Column, index) -> Column:
     """Element at a 1-based index, null when out of range."""
     return F.try_element_at(array, index if isinstance(index, Column) else F.lit(index))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, for values that many branches look at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -12,8 +12,6 @@ requests with all items of a type, and a popular type or shape adds rows only to
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +72,16 @@ def search_shapes(requests: DataFrame, missing_type: str | None = None) -> DataF
         }
     )
     parts = ["cpse", "base_type", "sub_type", "find_size", "find_metal", "find_class", "find_word"]
-    return out.withColumn("shape_id", F.md5(F.to_json(F.struct(*parts))))
+    return out.withColumn("shape_id", row_key(parts))
+
+
+def row_key(parts: list[str]) -> Column:
+    """Key of a combination of columns.
+
+    Never null, so a join on it needs no null check; such a check would be pushed down and repeat the
+    expressions behind the key.
+    """
+    return F.coalesce(F.md5(F.to_json(F.struct(*parts))), F.lit(""))
 
 
 def contains_like(text: Column, needle: Column) -> Column:
@@ -92,93 +99,99 @@ def _lowest(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 
 def _searchable(inventory: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Items under every (type, sub type) key that some shape asks for."""
-    subs = F.lit(None).cast("array<string>")
+    """Narrow item rows under every (type, sub type) key that some shape asks for."""
+    subs = F.array(F.lit(""))
+    text = F.lower("description")
     for kind, words in SUB_TYPES.items():
-        hits = F.array_compact(
-            F.array(F.lit(""), *[F.when(F.lower("description").contains(w.lower()), w) for w in words])
-        )
+        hits = F.array_compact(F.array(F.lit(""), *[F.when(text.contains(w.lower()), w) for w in words]))
         subs = F.when(F.col("item_type") == kind, hits).otherwise(subs)
+    places = F.concat(
+        F.transform(subs, lambda s: F.struct(F.col("item_type").alias("base_type"), s.alias("sub_type"))),
+        F.array(F.struct(F.lit(ANY).alias("base_type"), F.lit("").alias("sub_type"))),
+    )
     items = inventory.select(
-        "cpse", "sku_code",
-        F.explode(F.array("item_type", F.lit(ANY))).alias("base_type"),
-        F.coalesce(subs, F.array(F.lit(""))).alias("subs"),
-        F.struct(*[c for c in inventory.columns]).alias("item"),
+        "cpse", F.explode(places).alias("__place"), "sku_code", text.alias("text"),
+        F.col("size_nb_mm").cast("double").cast("string").alias("size"), F.col("pressure_class").cast("string").alias("class"),
+        F.lower("metallurgy").alias("metal"),
     )
-    items = items.withColumn("sub_type", F.explode(F.when(F.col("base_type") == ANY, F.array(F.lit(""))).otherwise(F.col("subs")))).drop("subs")
+    items = items.select("cpse", "__place.base_type", "__place.sub_type", "sku_code", "text", "size", "class", "metal")
     return items.join(shapes.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
-def _word_hits(items: DataFrame, shapes: DataFrame, limit: int, broadcast_words: int) -> DataFrame:
-    """Lowest SKUs whose description contains a requested word.
+def _word_search(items: DataFrame, shapes: DataFrame, broadcast_words: int):
+    """How requested words meet descriptions: (items with a ``words`` column, extra hits or None).
 
     The distinct words travel to the items as a broadcast while there are at most
     ``broadcast_words`` of them (counted first). Beyond that, words and descriptions meet on a
     three-letter piece of the word, so the work is a shuffle join on equal keys.
     """
     words = shapes.filter("find_word is not null").select(*KEYS, "find_word").distinct()
-    text = F.lower(F.col("item.description"))
+    none = F.array().cast("array<string>")
     if words.limit(broadcast_words + 1).count() <= broadcast_words:
-        grouped = words.groupBy(*KEYS).agg(F.collect_set("find_word").alias("words"))
-        found = (
-            items.join(F.broadcast(grouped), KEYS)
-            .withColumn("__text", text)
-            .withColumn("find_word", F.explode(F.filter("words", lambda w: contains_like(F.col("__text"), w))))
-            .drop("words", "__text")
-        )
-    else:
-        run = F.regexp_extract("find_word", r"([^%_\\\\]{3,})", 1)
-        left = items.withColumn("__text", text).withColumn("__piece", F.explode(pieces(F.col("__text"))))
-        found = (
-            left.join(words.withColumn("__piece", anchor(run)), [*KEYS, "__piece"])
-            .filter(contains_like(F.col("__text"), F.col("find_word")))
-            .drop("__text", "__piece")
-        )
-    return _lowest(found, [*KEYS, "find_word"], limit)
+        grouped = words.groupBy(*KEYS).agg(F.collect_set("find_word").alias("__asked"))
+        out = items.join(F.broadcast(grouped), KEYS, "left")
+        hits = F.filter(F.coalesce("__asked", none), lambda w: contains_like(F.col("text"), w))
+        return out.withColumn("words", hits).drop("__asked"), None
+    run = F.regexp_extract("find_word", r"([^%_\\]{3,})", 1)
+    found = (
+        items.withColumn("__piece", F.explode(pieces(F.col("text"))))
+        .join(words.withColumn("__piece", anchor(run)), [*KEYS, "__piece"])
+        .filter(contains_like(F.col("text"), F.col("find_word")))
+        .select(F.lit("word").alias("arm"), *KEYS, F.col("find_word").alias("value"), "sku_code")
+    )
+    return items.withColumn("words", none), found
 
 
 def candidates_by_shape(
     shapes: DataFrame, inventory: DataFrame, limit: int = 50, fill_below: int = 30, broadcast_words: int = 10_000
 ) -> DataFrame:
-    """(shape_id, sku_code, item, filled) for the distinct shapes."""
+    """(shape_id, sku_code, filled) for the distinct shapes; ``filled`` marks items added to fill up."""
     items = _searchable(inventory, shapes)
-    by_size = _lowest(
-        items.select(*KEYS, F.col("item.size_nb_mm").alias("find_size"), "sku_code", "item").filter("find_size is not null"),
-        [*KEYS, "find_size"], limit,
-    )
-    stocked_class = _lowest(
-        items.withColumn("__class", F.col("item.pressure_class")).filter("__class is not null"), [*KEYS, "__class"], limit
+    with_words, extra = _word_search(items, shapes, broadcast_words)
+
+    def entry(arm, value):
+        return F.struct(F.lit(arm).alias("arm"), value.alias("value"))
+
+    lists = F.concat(
+        F.array(
+            entry("pool", F.lit("")),
+            entry("size", F.col("size")),
+            entry("class", F.col("class")),
+            entry("metal", F.col("metal")),
+        ),
+        F.transform("words", lambda w: entry("word", w)),
     )
-    asked_class = shapes.filter("find_class is not null").select(*KEYS, "find_class").distinct()
-    by_class = _lowest(
-        asked_class.join(stocked_class, KEYS).filter(F.col("__class") >= F.col("find_class")).drop("__class"),
-        [*KEYS, "find_class"], limit,
+    listed = with_words.select(*KEYS, "sku_code", F.explode(lists).alias("__e")).select("__e.arm", *KEYS, "__e.value", "sku_code").filter("value is not null")
+    if extra is not None:
+        listed = listed.unionByName(extra)
+    short = _lowest(listed, ["arm", *KEYS, "value"], limit)
+    # what the shapes ask for; classes and metals are first widened to the stocked values that serve them
+    asks = F.array(
+        entry("pool", F.lit("")),
+        entry("size", F.col("find_size").cast("string")),
+        entry("class", F.col("find_class").cast("string")),
+        entry("metal", F.col("find_metal")),
+        entry("word", F.col("find_word")),
     )
-    stocked_metal = _lowest(
-        items.withColumn("__metal", F.lower("item.metallurgy")).filter("__metal is not null"), [*KEYS, "__metal"], limit
+    asked = shapes.select("shape_id", *KEYS, F.explode(asks).alias("__a")).select("shape_id", "__a.arm", *KEYS, F.col("__a.value").alias("ask")).filter("ask is not null")
+    distinct = asked.select("arm", *KEYS, "ask").distinct()
+    stocked = (
+        items.select(*KEYS, F.explode(F.array(entry("class", F.col("class")), entry("metal", F.col("metal")))).alias("__e"))
+        .select("__e.arm", *KEYS, "__e.value")
+        .filter("value is not null")
+        .distinct()
     )
-    asked_metal = shapes.filter("find_metal is not null").select(*KEYS, "find_metal").distinct()
-    by_metal = _lowest(
-        asked_metal.join(stocked_metal, KEYS).filter(contains_like(F.col("__metal"), F.col("find_metal"))).drop("__metal"),
-        [*KEYS, "find_metal"], limit,
+    serves = F.when(F.col("arm") == "class", F.col("value").cast("int") >= F.col("ask").cast("int")).otherwise(
+        contains_like(F.col("value"), F.col("ask"))
     )
-    by_word = _word_hits(items, shapes, limit, broadcast_words)
-    pool = _lowest(items, KEYS, limit)
-
-    def joined(found, extra, filled):
-        return shapes.join(found, [*KEYS, *extra]).select("shape_id", "sku_code", "item", F.lit(filled).alias("filled"))
-
-    parts = [
-        joined(by_size, ["find_size"], 0),
-        joined(by_class, ["find_class"], 0),
-        joined(by_metal, ["find_metal"], 0),
-        joined(by_word, ["find_word"], 0),
-        joined(pool, [], 1),
-    ]
+    widened = distinct.join(stocked, ["arm", *KEYS]).filter(serves)
+    equal = distinct.filter(~F.col("arm").isin("class", "metal")).withColumn("value", F.col("ask"))
+    wanted = widened.unionByName(equal)
+    answers = _lowest(wanted.join(short, ["arm", *KEYS, "value"]).drop("value"), ["arm", *KEYS, "ask"], limit)
     merged = (
-        reduce(DataFrame.unionByName, parts)
+        asked.join(answers, ["arm", *KEYS, "ask"])
         .groupBy("shape_id", "sku_code")
-        .agg(F.min("filled").alias("filled"), F.first("item").alias("item"))
+        .agg(F.min(F.when(F.col("arm") == "pool", 1).otherwise(0)).alias("filled"))
     )
     shape = Window.partitionBy("shape_id")
     ranked = (
@@ -186,13 +199,14 @@ def candidates_by_shape(
         .filter((F.col("filled") == 0) | (F.col("__hits") < fill_below))
         .withColumn("__n", F.row_number().over(shape.orderBy("filled", "sku_code")))
     )
-    return ranked.filter(F.col("__n") <= limit).select("shape_id", "sku_code", "item", "filled")
+    return ranked.filter(F.col("__n") <= limit).select("shape_id", "sku_code", "filled")
 
 
 def retrieve(requests: DataFrame, inventory: DataFrame, **options) -> DataFrame:
-    """Candidates of each request: request columns, ``sku_code``, ``item`` and ``filled``."""
+    """Candidates of each request: request columns, ``sku_code``, ``filled`` and the ``item`` as a struct."""
     missing = options.pop("missing_type", None)
     shaped = search_shapes(requests, missing)
     shapes = shaped.select("shape_id", *KEYS, "find_size", "find_metal", "find_class", "find_word").dropDuplicates(["shape_id"])
     found = candidates_by_shape(shapes, inventory, **options)
-    return shaped.select("shape_id", *requests.columns).join(found, "shape_id").drop("shape_id")
+    items = inventory.select("sku_code", F.struct(*inventory.columns).alias("item"))
+    return shaped.select("shape_id", *requests.columns).join(found.join(items, "sku_code"), "shape_id").drop("shape_id")
