@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from . import match_queries, stock_queries  # noqa: F401
+    from . import match_queries, rule_queries, stock_queries  # noqa: F401
 
 
 def all_queries() -> dict:
