@@ -56,11 +56,11 @@ def request_hash(columns: dict):
     return F.sha2(sorted_json(columns), 256)
 
 
-def append_batch(pending: DataFrame, last_hash: str = GENESIS, block: int = 10_000) -> DataFrame:
+def append_batch(pending: DataFrame, last_hash: str = GENESIS) -> DataFrame:
     """Chain a batch of new entries after ``last_hash``.
 
     A hash chain is serial by definition: each hash needs the one before. The row texts are prepared
-    in parallel and sorted; then one task folds them as a stream, a block at a time, with only the
+    in parallel and sorted; then one task folds them as a stream of blocks, with only the
     last hash in hand. A batch is what arrived since the last append, not the ledger.
     """
     fields = ("log_id", "timestamp", "actor_name", "action_name", "reference_id", "details")
@@ -84,16 +84,17 @@ def append_batch(pending: DataFrame, last_hash: str = GENESIS, block: int = 10_0
     return ready.mapInPandas(chain, schema)
 
 
-def check_chain(ledger: DataFrame, partitions: int | None = None) -> DataFrame:
+def check_chain(ledger: DataFrame, partitions: int | None = None, row=F.col) -> DataFrame:
     """Each entry with its position and whether its link and its own hash hold.
 
     Only ids, times and hashes are ordered. They are range-partitioned (a crowded time is cut by the
     id), written to the checkpoint folder, linked inside each partition, and the first row of a
     partition is linked to the last row of the one before through a table of one row per partition.
+    ``row`` gives the column of a hashed field, for ledgers that hash another form of it.
     """
     count = partitions or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = ledger.select(
-        "log_id", "timestamp", "prev_hash", "sha256_hash", (ledger_hash(F.col("prev_hash")) == F.col("sha256_hash")).alias("hash_ok")
+        "log_id", "timestamp", "prev_hash", "sha256_hash", (ledger_hash(F.col("prev_hash"), row) == F.col("sha256_hash")).alias("hash_ok")
     )
     ranged = checkpointed(slim.repartitionByRange(count, *ORDER).withColumn("__part", F.spark_partition_id()))
     last = ranged.groupBy("__part").agg(F.max_by("sha256_hash", F.struct(*ORDER)).alias("__hash"), F.count("*").alias("__rows"))
@@ -114,10 +115,10 @@ def check_chain(ledger: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
-def verify_chain(ledger: DataFrame, partitions: int | None = None) -> DataFrame:
+def verify_chain(ledger: DataFrame, partitions: int | None = None, row=F.col) -> DataFrame:
     """One row: valid, first broken position and entry, entries checked."""
     broken = ~F.col("link_ok") | ~F.col("hash_ok")
-    checked = check_chain(ledger, partitions)
+    checked = check_chain(ledger, partitions, row)
     return checked.agg(
         (F.count_if(broken) == 0).alias("is_valid"),
         F.min(F.when(broken, F.col("position"))).alias("first_broken_position"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.attributes import metallurgy_of, normalize_pressure, normalize_size
+from ..functions.values import number_in
 from ..session import checkpointed
 from .ordering import hash_order, hash_positions
 
@@ -378,3 +380,37 @@ def label_spans(descriptions: DataFrame, text_id: str = "text_id", text: str = "
     spans = F.array_compact(F.array(*found))
     return descriptions.select(text_id, F.explode(spans).alias("s")).select(text_id, "s.label", "s.start", "s.end", "s.word")
 
+
+
+# Entity labels and the attribute each one fills.
+ENTITY_FIELDS = {
+    "ITEM_TYPE": "item_type", "SIZE": "size_nb_mm", "PRESSURE_RATING": "pressure_class", "METALLURGY": "metallurgy",
+    "FACING_END": "facing_end", "STANDARD": "standard", "INDIAN_STANDARD": "indian_standard", "OISD_STANDARD": "oisd_standard",
+    "EIL_SPECIFICATION": "eil_specification", "GEM_CATEGORY": "gem_category", "GEM_BID_NUMBER": "gem_bid_number",
+    "CPPP_TENDER_ID": "cppp_tender_id", "MESC_CODE": "mesc_code", "MANUFACTURER": "manufacturer", "PRODUCT_FORM": "product_form",
+    "COATING": "coating", "INSPECTION_CLASS": "inspection_class", "DOCUMENT_NUMBER": "document_number", "PROJECT": "project",
+    "END_CONNECTION": "end_connection", "TEMPERATURE_RATING": "temperature_rating", "PURCHASE_ORDER": "purchase_order",
+    "CERTIFICATE_NUMBER": "certificate_number", "BID_NUMBER": "bid_number", "INSPECTION_AGENCY": "inspection_agency",
+}
+
+
+def merge_entities(attributes: DataFrame, entities: DataFrame, text_id: str) -> DataFrame:
+    """Tagged entities (text_id, label, word) over pattern attributes: a tag wins, patterns fill the rest.
+
+    The last entity of a label counts, by ``entity_no`` where given.
+    """
+    order = F.col("entity_no") if "entity_no" in entities.columns else F.col("word")
+    labels = list(ENTITY_FIELDS)
+    wide = entities.groupBy(F.col("text_id").alias(text_id)).agg(
+        *[F.max_by("word", F.when(F.col("label") == lb, order)).alias("__" + lb) for lb in labels]
+    )
+    out = attributes.join(wide, text_id, "left")
+    readers = {"SIZE": normalize_size, "PRESSURE_RATING": normalize_pressure, "METALLURGY": metallurgy_of, "TEMPERATURE_RATING": number_in}
+    made = {}
+    for label, name in ENTITY_FIELDS.items():
+        if name in attributes.columns:
+            word = F.nullif(F.col("__" + label), F.lit(""))
+            made[name] = F.coalesce(readers[label](word) if label in readers else word, F.col(name))
+    if "material_grade" in attributes.columns and "metallurgy" in made:
+        made["material_grade"] = F.coalesce(metallurgy_of(F.nullif(F.col("__METALLURGY"), F.lit(""))), F.col("material_grade"))
+    return out.withColumns(made).drop(*["__" + lb for lb in labels])

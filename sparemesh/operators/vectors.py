@@ -58,6 +58,8 @@ def top_by_domain(
 
     left = q_cut.join(c_sizes, block).withColumn("c_tile", spread("__tiles_c_tile")).select(block, "q_tile", "c_tile", query_id, *domains)
     right = c_cut.join(q_sizes, block).withColumn("q_tile", spread("__tiles_q_tile")).select(block, "q_tile", "c_tile", item_id, *domains)
+    # fresh column ids, so that a table may be searched with its own rows
+    right = right.select(*[F.col(n).alias(n) for n in right.columns])
     kinds = dict(queries.dtypes)
     schema = f"{query_id} {kinds[query_id]}, domain string, {item_id} {dict(corpus.dtypes)[item_id]}, score double"
 
