@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from . import document_queries, flow_queries, match_queries, rule_queries, stock_queries, stream_queries  # noqa: F401
+    from . import document_queries, file_queries, flow_queries, match_queries, rule_queries, stock_queries, stream_queries  # noqa: F401
 
 
 def all_queries() -> dict:
