@@ -129,7 +129,7 @@ def item_edges(payload: DataFrame) -> DataFrame:
             _edge("InventoryItem", sku, "HAS_BODY_METALLURGY", "MaterialGrade", F.col("metal_value")),
         )
     )
-    return payload.select(F.explode(rows).alias("e")).select("e.*").distinct()
+    return payload.select(F.explode_outer(rows).alias("e")).select("e.*").distinct()
 
 
 def item_nodes(payload: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def item_nodes(payload: DataFrame) -> DataFrame:
         F.struct(F.lit("PressureClass").alias("label"), F.col("class_value").alias("key"), F.lit(None).cast("string").alias("props")),
         F.struct(F.lit("MaterialGrade").alias("label"), F.col("metal_value").alias("key"), F.lit(None).cast("string").alias("props")),
     )
-    return payload.select(F.explode(rows).alias("n")).select("n.*").filter("key is not null").groupBy("label", "key").agg(F.max("props").alias("props"))
+    return payload.select(F.explode_outer(rows).alias("n")).select("n.*").filter("key is not null").groupBy("label", "key").agg(F.max("props").alias("props"))
 
 
 def duplicate_keys(nodes: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def requisition_edges(reqs: DataFrame, items: DataFrame, depots: DataFrame) -> D
             _edge("Requisition", req, "DESTINED_FOR", "Depot", F.col("__dst")),
         )
     )
-    return step.filter(F.coalesce("requisition_id", F.lit("")) != "").select(F.explode(rows).alias("e")).select("e.*").distinct()
+    return step.filter(F.coalesce("requisition_id", F.lit("")) != "").select(F.explode_outer(rows).alias("e")).select("e.*").filter("src is not null").distinct()
 
 
 def upgrade_closure(edges: DataFrame, kind: str, reflexive_over: DataFrame | None = None) -> DataFrame:

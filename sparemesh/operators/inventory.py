@@ -133,7 +133,7 @@ def key_figures(items: DataFrame, requisitions: DataFrame, cpse: str | None = No
         F.coalesce(F.sum(F.when(is_surplus(), F.col("total_value_inr"))), F.lit(0.0)).alias("capital_inr"),
     )
     sides = F.array_distinct(F.array("source_cpse", "target_cpse"))
-    orders = requisitions.select(F.explode(sides).alias("cpse")).groupBy("cpse").agg(F.count("*").alias("total_requisitions"))
+    orders = requisitions.select(F.explode_outer(sides).alias("cpse")).groupBy("cpse").agg(F.count("*").alias("total_requisitions"))
     return figures.join(orders, "cpse", "left").select(
         "cpse", "total_items", "total_surplus", "total_hitl",
         F.coalesce("total_requisitions", F.lit(0)).alias("total_requisitions"),

@@ -98,6 +98,8 @@ def _lowest(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= limit).drop("__n")
 
 
+# Arrays are unfolded with ``explode_outer`` here and in the other operators: for a plain ``explode`` Spark
+# adds a filter on the array's size, pushes it down and so computes the array twice.
 def _searchable(inventory: DataFrame, shapes: DataFrame) -> DataFrame:
     """Narrow item rows under every (type, sub type) key that some shape asks for."""
     subs = F.array(F.lit(""))
@@ -110,7 +112,7 @@ def _searchable(inventory: DataFrame, shapes: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit(ANY).alias("base_type"), F.lit("").alias("sub_type"))),
     )
     items = inventory.select(
-        "cpse", F.explode(places).alias("__place"), "sku_code", text.alias("text"),
+        "cpse", F.explode_outer(places).alias("__place"), "sku_code", text.alias("text"),
         F.col("size_nb_mm").cast("double").cast("string").alias("size"), F.col("pressure_class").cast("string").alias("class"),
         F.lower("metallurgy").alias("metal"),
     )
@@ -134,7 +136,7 @@ def _word_search(items: DataFrame, shapes: DataFrame, broadcast_words: int):
         return out.withColumn("words", hits).drop("__asked"), None
     run = F.regexp_extract("find_word", r"([^%_\\]{3,})", 1)
     found = (
-        items.withColumn("__piece", F.explode(pieces(F.col("text"))))
+        items.withColumn("__piece", F.explode_outer(pieces(F.col("text"))))
         .join(words.withColumn("__piece", anchor(run)), [*KEYS, "__piece"])
         .filter(contains_like(F.col("text"), F.col("find_word")))
         .select(F.lit("word").alias("arm"), *KEYS, F.col("find_word").alias("value"), "sku_code")
@@ -161,10 +163,11 @@ def candidates_by_shape(
         ),
         F.transform("words", lambda w: entry("word", w)),
     )
-    listed = with_words.select(*KEYS, "sku_code", F.explode(lists).alias("__e")).select("__e.arm", *KEYS, "__e.value", "sku_code").filter("value is not null")
+    listed = with_words.select(*KEYS, "sku_code", F.explode_outer(lists).alias("__e")).select("__e.arm", *KEYS, "__e.value", "sku_code").filter("value is not null")
     if extra is not None:
         listed = listed.unionByName(extra)
-    short = _lowest(listed, ["arm", *KEYS, "value"], limit)
+    skus = F.array_sort(F.collect_list("sku_code"))  # at most ``limit`` per key
+    short = _lowest(listed, ["arm", *KEYS, "value"], limit).groupBy("arm", *KEYS, "value").agg(skus.alias("skus"))
     # what the shapes ask for; classes and metals are first widened to the stocked values that serve them
     asks = F.array(
         entry("pool", F.lit("")),
@@ -173,10 +176,10 @@ def candidates_by_shape(
         entry("metal", F.col("find_metal")),
         entry("word", F.col("find_word")),
     )
-    asked = shapes.select("shape_id", *KEYS, F.explode(asks).alias("__a")).select("shape_id", "__a.arm", *KEYS, F.col("__a.value").alias("ask")).filter("ask is not null")
+    asked = shapes.select("shape_id", *KEYS, F.explode_outer(asks).alias("__a")).select("shape_id", "__a.arm", *KEYS, F.col("__a.value").alias("ask")).filter("ask is not null")
     distinct = asked.select("arm", *KEYS, "ask").distinct()
     stocked = (
-        items.select(*KEYS, F.explode(F.array(entry("class", F.col("class")), entry("metal", F.col("metal")))).alias("__e"))
+        items.select(*KEYS, F.explode_outer(F.array(entry("class", F.col("class")), entry("metal", F.col("metal")))).alias("__e"))
         .select("__e.arm", *KEYS, "__e.value")
         .filter("value is not null")
         .distinct()
@@ -186,20 +189,35 @@ def candidates_by_shape(
     )
     widened = distinct.join(stocked, ["arm", *KEYS]).filter(serves)
     equal = distinct.filter(~F.col("arm").isin("class", "metal")).withColumn("value", F.col("ask"))
-    wanted = widened.unionByName(equal)
-    answers = _lowest(wanted.join(short, ["arm", *KEYS, "value"]).drop("value"), ["arm", *KEYS, "ask"], limit)
+
+    def lowest_of(lists):
+        return F.slice(F.array_sort(F.array_distinct(F.flatten(lists))), 1, limit)
+
+    answers = (
+        widened.unionByName(equal)
+        .join(short, ["arm", *KEYS, "value"])
+        .groupBy("arm", *KEYS, "ask")
+        .agg(lowest_of(F.collect_list("skus")).alias("skus"))
+    )
+    # five short lists per shape become its candidates inside one row
     merged = (
         asked.join(answers, ["arm", *KEYS, "ask"])
-        .groupBy("shape_id", "sku_code")
-        .agg(F.min(F.when(F.col("arm") == "pool", 1).otherwise(0)).alias("filled"))
+        .groupBy("shape_id")
+        .agg(
+            lowest_of(F.collect_list(F.when(F.col("arm") != "pool", F.col("skus")))).alias("hits"),
+            F.flatten(F.collect_list(F.when(F.col("arm") == "pool", F.col("skus")))).alias("pool"),
+        )
     )
-    shape = Window.partitionBy("shape_id")
-    ranked = (
-        merged.withColumn("__hits", F.sum(1 - F.col("filled")).over(shape))
-        .filter((F.col("filled") == 0) | (F.col("__hits") < fill_below))
-        .withColumn("__n", F.row_number().over(shape.orderBy("filled", "sku_code")))
+    room = F.lit(limit) - F.size("hits")
+    fill = F.when(F.size("hits") < fill_below, F.slice(F.array_except("pool", "hits"), F.lit(1), room)).otherwise(
+        F.array().cast("array<string>")
     )
-    return ranked.filter(F.col("__n") <= limit).select("shape_id", "sku_code", "filled")
+
+    def tagged(skus, filled):
+        return F.transform(skus, lambda s: F.struct(s.alias("sku_code"), F.lit(filled).alias("filled")))
+
+    picked = merged.select("shape_id", F.explode_outer(F.concat(tagged("hits", 0), tagged(fill, 1))).alias("__c"))
+    return picked.select("shape_id", "__c.sku_code", "__c.filled").filter("sku_code is not null")
 
 
 def retrieve(requests: DataFrame, inventory: DataFrame, **options) -> DataFrame:

@@ -58,8 +58,9 @@ def position(ladder, value: Column) -> Column:
 class Side:
     """The query or the candidate of a pair."""
 
-    def __init__(self, prefix: str, props: str = "props"):
+    def __init__(self, prefix: str, props: str = "props", bag: str | None = None):
         self.prefix = prefix
+        self.bag_text = None if bag is None else F.col(prefix + bag)
         self.props = F.col(prefix + props)
         self.item_type = F.coalesce(F.col(prefix + "item_type"), F.lit(""))
         self.kind = F.upper(self.item_type)
@@ -110,11 +111,12 @@ class Side:
 
     def bag(self) -> Column:
         """All keys and values as one text, for rules that search the whole bag."""
-        return F.concat_ws(
-            " ",
-            F.coalesce(F.map_keys(self.props), F.array().cast("array<string>")),
-            F.coalesce(F.map_values(self.props), F.array().cast("array<string>")),
-        )
+        return self.bag_text if self.bag_text is not None else bag_text(self.props)
+
+
+def bag_text(props: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat_ws(" ", F.coalesce(F.map_keys(props), none), F.coalesce(F.map_values(props), none))
 
 
 def has_text(text: Column, *words: str) -> Column:

@@ -29,6 +29,6 @@ def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str, on:
     keys with the substring test behind it, never a product of the two tables.
     """
     keys = [*(on or []), "__piece"]
-    left = texts.withColumn("__piece", F.explode(pieces(F.col(text))))
+    left = texts.withColumn("__piece", F.explode_outer(pieces(F.col(text))))
     right = needles.withColumn("__piece", anchor(F.col(needle)))
     return left.join(right, keys).filter(F.contains(F.col(text), F.col(needle))).drop("__piece")

@@ -152,7 +152,7 @@ def mine_pairs(items: DataFrame, item_id: str = "item_id", positives: int = 5, n
     minus = F.when(own_type, outside_spec).when(others > 0, outside_type).otherwise(F.array().cast("array<bigint>"))
     wanted = placed.filter((n > m) | (others > 0)).select(
         F.col(item_id).alias("query_id"),
-        F.explode(
+        F.explode_outer(
             F.concat(
                 F.transform(plus, lambda p: F.struct(p.cast("long").alias("pos"), F.lit(1).alias("label"))),
                 F.transform(minus, lambda p: F.struct(p.cast("long").alias("pos"), F.lit(0).alias("label"))),
@@ -378,7 +378,7 @@ def label_spans(descriptions: DataFrame, text_id: str = "text_id", text: str = "
             )
         )
     spans = F.array_compact(F.array(*found))
-    return descriptions.select(text_id, F.explode(spans).alias("s")).select(text_id, "s.label", "s.start", "s.end", "s.word")
+    return descriptions.select(text_id, F.explode_outer(spans).alias("s")).select(text_id, "s.label", "s.start", "s.end", "s.word").filter("label is not null")
 
 
 

@@ -54,7 +54,7 @@ def top_by_domain(
     c_cut, c_sizes = _tiles(corpus, block, item_id, tile_rows, "c_tile")
 
     def spread(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        return F.explode_outer(F.sequence(F.lit(0), F.col(n) - 1))
 
     left = q_cut.join(c_sizes, block).withColumn("c_tile", spread("__tiles_c_tile")).select(block, "q_tile", "c_tile", query_id, *domains)
     right = c_cut.join(q_sizes, block).withColumn("q_tile", spread("__tiles_q_tile")).select(block, "q_tile", "c_tile", item_id, *domains)

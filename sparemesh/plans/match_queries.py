@@ -216,7 +216,7 @@ def verdict(spark, sf_dir):
     ),
 )
 def scorecard(spark, sf_dir):
-    out = evaluate(pair_sides(spark, sf_dir)).select(F.explode("evaluations").alias("e"))
+    out = evaluate(pair_sides(spark, sf_dir)).select(F.explode_outer("evaluations").alias("e"))
     return out.groupBy(F.col("e.name").alias("name"), F.col("e.status").alias("status")).agg(F.count("*").alias("pairs"))
 
 
