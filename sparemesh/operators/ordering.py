@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,14 @@ def hash_order(*parts: Column, seed: int = 42) -> Column:
 def hash_positions(df: DataFrame, groups: list[str], order: str, into: str = "position", total: str = "total") -> DataFrame:
     """Zero-based position of each row in its group by a hex hash column, and the group's size.
 
-    A group is cut into 4,096 ranges by the first three hex digits, which are even whatever the
-    data. Rows are ranked inside a range; the ranges' counts (at most 4,096 per group, made by a
-    map-side aggregate) give each range its offset. So a group with most of the rows is still
-    ranked by many tasks.
+    A group is cut into ranges by the first hex digits, which are even whatever the data: 4,096 ranges, or
+    more when the session has many shuffle partitions. Rows are ranked inside a range; the ranges'
+    counts, made by a map-side aggregate, give each range its offset. So a group with most of the
+    rows is still ranked by many tasks.
     """
-    ranged = df.withColumn("__range", F.substring(order, 1, 3))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = max(3, math.ceil(math.log(16 * tasks, 16)))
+    ranged = df.withColumn("__range", F.substring(order, 1, digits))
     counts = ranged.groupBy(*groups, "__range").agg(F.count("*").alias("__rows"))
     by_group = Window.partitionBy(*groups)
     offsets = counts.withColumns(
