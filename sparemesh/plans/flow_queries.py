@@ -138,12 +138,12 @@ def requisition_passes(spark, sf_dir):
         "inventory",
         """SELECT sku_code, coalesce(s, status) AS status, is_broadcasted_surplus OR coalesce(b, false) AS is_broadcasted_surplus FROM inventory LEFT JOIN
            (SELECT sku, arg_max(new_status, event_id) AS s, bool_or(new_status = 'IDLE_SURPLUS') AS b FROM
-             (SELECT 'SKU-' || l_partkey || '-' || l_suppkey AS sku, CASE l_linenumber % 3 WHEN 0 THEN 'IDLE_SURPLUS' WHEN 1 THEN 'HITL_REVIEW' ELSE 'TO_BE_CONSUMED' END AS new_status, l_orderkey * 100 + l_linenumber AS event_id FROM lineitem WHERE l_orderkey % 4 = 0)
+             (SELECT 'SKU-' || l_partkey || '-' || l_suppkey AS sku, CASE l_linenumber % 3 WHEN 0 THEN 'IDLE_SURPLUS' WHEN 1 THEN 'HITL_REVIEW' ELSE 'TO_BE_CONSUMED' END AS new_status, l_orderkey * 100 + l_linenumber AS event_id FROM lineitem WHERE l_returnflag = 'R')
             GROUP BY sku) ON sku = sku_code""",
     ),
 )
 def transitions(spark, sf_dir):
-    line = V.table(spark, sf_dir, "lineitem").filter(F.pmod("l_orderkey", F.lit(4)) == 0)
+    line = V.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")  # returned lines change the status
     items = V.inventory(spark, sf_dir)
     moves = line.select(
         F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("sku_code"),

@@ -218,11 +218,12 @@ def upload(spark, sf_dir):
 UPLOAD = """SELECT k * 1000000 + s AS row_id, CASE WHEN k % 17 = 3 THEN '' ELSE 'UP-' || (k // 2) END AS sku, depot_location, description, upper(item_type) AS item_type, size_nb_mm,
       CASE WHEN k % 13 = 5 THEN NULL ELSE quantity END AS quantity, days_idle, unit_cost_inr, k
     FROM (SELECT *, CAST(split_part(sku_code, '-', 2) AS BIGINT) AS k, CAST(split_part(sku_code, '-', 3) AS BIGINT) AS s FROM inventory)"""
-LEDGER = "SELECT 'UP-' || p_partkey AS sku FROM part WHERE p_partkey % 3 = 0"
+LEDGER = "SELECT 'UP-' || p_partkey AS sku FROM part WHERE p_type = 'PROMO'"
 
 
 def stored(spark, sf_dir):
-    p = V.table(spark, sf_dir, "part").filter(F.pmod("p_partkey", F.lit(3)) == 0)
+    """SKUs that are in the ledger already: those of one part type."""
+    p = V.table(spark, sf_dir, "part").filter("p_type = 'PROMO'")
     return p.select(F.concat(F.lit("UP-"), F.col("p_partkey").cast("string")).alias("sku_code"))
 
 
@@ -269,7 +270,7 @@ def intake_counts(spark, sf_dir):
     return catalog.intake_counts(rows, catalog.new_rows(rows, stored(spark, sf_dir)))
 
 
-@query("u3_absent_skus", O.sql("", "SELECT 'UP-' || p_partkey AS sku_code FROM part WHERE p_partkey % 3 <> 0"))
+@query("u3_absent_skus", O.sql("", "SELECT 'UP-' || p_partkey AS sku_code FROM part WHERE p_type <> 'PROMO'"))
 def absent(spark, sf_dir):
     p = V.table(spark, sf_dir, "part").select(F.concat(F.lit("UP-"), F.col("p_partkey").cast("string")).alias("sku_code"))
     return p.join(stored(spark, sf_dir), "sku_code", "left_anti")
@@ -464,10 +465,11 @@ def tabs(spark, sf_dir):
     return rq.tab_counts(V.requisitions(spark, sf_dir), "user-1", "T2", "Jorhat")
 
 
-@query("j5_item_certificates", O.sql("inventory certificates", "SELECT sku_code, doc_id, grade FROM (SELECT *, CAST(split_part(sku_code, '-', 2) AS BIGINT) AS k FROM inventory) LEFT JOIN (SELECT * FROM certificates WHERE doc_id % 3 = 0) ON doc_id = k"))
+@query("j5_item_certificates", O.sql("inventory certificates", "SELECT sku_code, doc_id, grade FROM (SELECT *, CAST(split_part(sku_code, '-', 2) AS BIGINT) AS k FROM inventory) LEFT JOIN certificates ON doc_id = k * 2"))
 def item_certificates(spark, sf_dir):
-    docs = V.certificates(spark, sf_dir).filter(F.pmod("doc_id", F.lit(3)) == 0).select("doc_id", "grade")
-    items = V.inventory(spark, sf_dir).withColumn("mtc_document_id", F.regexp_extract("sku_code", r"-(\d+)-", 1).cast("long"))
+    docs = V.certificates(spark, sf_dir).select("doc_id", "grade")
+    # only half of the items have a certificate under this number
+    items = V.inventory(spark, sf_dir).withColumn("mtc_document_id", F.regexp_extract("sku_code", r"-(\d+)-", 1).cast("long") * 2)
     out = rq.with_certificate(items, docs)
     return out.select("sku_code", F.when(F.col("grade").isNotNull(), F.col("mtc_document_id")).alias("doc_id"), "grade")
 
