@@ -401,7 +401,20 @@ def ranked(spark, sf_dir):
     return out.select("request_id", "sku_code", "rank", "compatibility_score", "tier", "tier_level")
 
 
-@query("p7_flagship")
+MATCH_CODE = FIRST_CODE.replace("q_type = 'FLANGE'", f"q_type IN ({VALVE_TYPES})")
+
+
+@query(
+    "p7_flagship",
+    O.sql(
+        "requests inventory",
+        f"""SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY compatibility_score DESC, sku_code) AS rank, sku_code, cpse, depot_id, item_type, size_nb_mm, pressure_class, metallurgy,
+              compatibility_score, tier, is_compatible, violation_code, distance_km, transit_hours FROM
+            (SELECT request_id, sku_code, round(combined * 100, 1) AS compatibility_score, {TIER} AS tier, compatible AS is_compatible, {MATCH_CODE} AS violation_code, round({KM}, 1) AS distance_km, round({KM} / 40.0 + 4.0, 1) AS transit_hours FROM combined)
+            JOIN (SELECT sku_code, cpse, depot_id, item_type, size_nb_mm, pressure_class, metallurgy FROM inventory) USING (sku_code)""",
+        **MATCH_CTES,
+    ),
+)
 def flagship(spark, sf_dir):
     return ranked_substitutes(spark, sf_dir)
 
