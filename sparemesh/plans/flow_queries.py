@@ -10,7 +10,7 @@ from ..functions.sealing import ledger_hash, sorted_json
 from ..operators import catalog, graph, ledger, requisitions as rq, review, stock, training, vectors
 from . import oracle_views as O
 from . import views as V
-from .match_queries import pair_tables
+from .match_queries import REST, SAFETY, pair_tables
 from .registry import query
 
 # ---- requisition history -----------------------------------------------------------------------------
@@ -662,7 +662,25 @@ def fused_scores(spark, sf_dir):
     return merged.select("query_id", "item_id", F.round("cosine", 6).alias("cosine"), *[F.round(F.try_element_at("domain_scores", F.lit(d)), 6).alias(d) for d in ("dim", "std")])
 
 
-@query("v3_search")
+def clamp(x):
+    return f"greatest(0.0, least(1.0, coalesce({x}, 0.0)))"
+
+
+SEARCHED = """SELECT m.*, a.item_type AS q_type, b.item_type AS c_type, a.size_nb_mm AS q_size, b.size_nb_mm AS c_size, a.pressure_class AS q_class, b.pressure_class AS c_class, a.metallurgy AS q_metal, b.metallurgy AS c_metal,
+      a.facing_end AS q_face, b.facing_end AS c_face, a.standard AS q_std, b.standard AS c_std FROM merged m JOIN vectors a ON a.vec_id = query_id JOIN vectors b ON b.vec_id = item_id WHERE cosine >= 0.70"""
+SEARCH_REST = REST.replace("4 * cosine", " + ".join(clamp(d) for d in DOMAINS))
+SEARCH_SCORED = f"SELECT *, least(1.0, 0.5 * least(1.0, cosine) + 0.5 * ({SEARCH_REST}) / 12.0) AS similarity, {SAFETY} AS failed FROM searched"
+
+
+@query(
+    "v3_search",
+    O.sql(
+        "vectors",
+        """SELECT query_id, item_id, rank, round(similarity, 6) AS similarity, CASE WHEN failed <> '' THEN 'Tier-4-Reject' WHEN similarity >= 0.85 THEN 'Tier-1' WHEN similarity >= 0.6 THEN 'Tier-3' ELSE 'Tier-4-Reject' END AS tier,
+             len(failed) - len(replace(failed, ';', '')) AS violations FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM scored) WHERE rank <= 5""",
+        hits=HITS, merged=MERGED, searched=SEARCHED, scored=SEARCH_SCORED,
+    ),
+)
 def search(spark, sf_dir):
     """The whole search: fusion, cut, safety, ranking score, tier and top five per query."""
     q, c = sides(spark, sf_dir)
