@@ -11,7 +11,7 @@ from ..session import checkpoint_dir
 from ..streaming import changes, stateful
 from . import oracle_views as O
 from . import views as V
-from .flow_queries import QUEUE, SEEN, sightings
+from .flow_queries import QUEUE, SEEN, sightings, stock_sql
 from .registry import query
 
 
@@ -78,7 +78,7 @@ def backfilled(spark, sf_dir):
     return changes.current_records(spark, root).select("sku_code", "quantity")
 
 
-@query("st6_stock_stream")
+@query("st6_stock_stream", stock_sql("SELECT w.sku_code, event_id, e.requisition_id, w.event_type, e.quantity, w.granted, w.stock_left FROM walk w JOIN numbered e USING (event_id) WHERE w.n > 0"))
 def stock_stream(spark, sf_dir):
     """Stock outcomes of the streamed events; one batch, so time order holds throughout."""
     stateful.use_rocksdb(spark)
