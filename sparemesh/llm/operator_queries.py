@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, documents
+from .common import LOWER, UPPER, documents, stored
 from .queries import query
 
 # Fixed rules of the URL query: (verdict, host and path prefix).
@@ -56,3 +56,69 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP2_SQL = rf"""
+WITH sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+placed AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM by_source),
+sorted AS (SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) - 1 AS at FROM placed),
+levels AS (  -- with the first k sources clamped: what is left for the weights that are left
+  SELECT k.at AS k, (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE FROM placed) - coalesce(sum(2 * s.source_size) FILTER (s.at < k.at), 0)::DOUBLE AS remaining,
+         sum(s.weight) FILTER (s.at >= k.at) AS free, min(2 * s.source_size / s.weight) FILTER (s.at >= k.at) AS next
+  FROM sorted k, sorted s GROUP BY k.at),
+level AS (SELECT remaining, free FROM levels WHERE remaining / free < next ORDER BY k LIMIT 1),
+targets AS (SELECT source, source_size, least(weight * remaining / free, (2 * source_size)::DOUBLE) AS target FROM placed, level),
+keyed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS copies,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('7|' || s.doc_id || '|' || s.size) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (copies + CASE WHEN ahead + size / 2 <= target - copies * source_size AND ahead < target - copies * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM keyed
+"""
+
+
+@query("op2_mix_sources", OP2_SQL)
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources, word_count
+
+    sized = documents(spark, sf_dir).select("doc_id", "source", word_count("text").alias("words"))
+    mixed = mix_sources(stored(sized, "words"), weights=(5, 2, 1), share=1.5, max_epochs=2, size="words")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+PLANTED = r"\### Assistant: </turn> ok"
+
+OP9_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+sized AS (SELECT *, replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l') AS body,
+                 replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c') AS head FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(head) + 2 + length(body) + 8)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op9_chat_format", OP9_SQL)
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import chain, format_trees, read_loss, read_turns
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, :said AS text UNION ALL SELECT -7L, 1L, 'assistant', :said", args={"said": PLANTED})
+    trees = chain(rows.union(planted), "conv_id", "turn", "role", "text")
+    out = format_trees(trees, "conv_id").withColumns({"turns": read_turns("formatted"), "said": read_loss("formatted", "loss")})
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("said").cast("long").alias("loss_chars"),
+        F.sha2("said", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
