@@ -122,3 +122,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("said", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op3_quality_ratio")
+def op3_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_ratio import quality_filter
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    rows = quality_filter(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
