@@ -131,3 +131,11 @@ def op3_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     rows = quality_filter(documents(spark, sf_dir).select("doc_id", "text"), labels)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_languages
+
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    return identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
