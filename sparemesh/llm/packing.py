@@ -18,50 +18,37 @@ from .common import byte_slices
 PIECES = "start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
+# How text is cut before the merges (a fixed value of this vocabulary's public definition).
+SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """One tokenizer per worker; control strings inside a text are ordinary text."""
+def encoders(path: str):
+    """(tokenizer, the same merges in the faster encoder) of a byte-level BPE file, one pair per worker.
+
+    Control strings inside a text are ordinary text for both.
+    """
+    from tiktoken import Encoding
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
     loaded.encode_special_tokens = True
-    return loaded
+    # The vocabulary writes each byte as a printable character: printable Latin-1 as itself, the rest from 256 on, in order.
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
+    special = {t.content for t in loaded.get_added_tokens_decoder().values()}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in loaded.get_vocab(with_added_tokens=False).items() if token not in special}
+    return loaded, Encoding("same", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordTokens:
-    """Token ids (little-endian, 32 bits) of texts, each distinct word encoded once.
-
-    The byte-level splitting rule always cuts before a single space between two solid characters, so
-    text between two such places is encoded alone with the same ids. Anything else (runs of blanks, line ends)
-    stays inside one piece.
-    """
-
-    def __init__(self, path: str, most_kept: int = 300_000):
-        self.path, self.most_kept, self.known = path, most_kept, {}
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        out: list[str] = []
-        open_end = True
-        for k, part in enumerate(text.split(" ")):
-            piece = part if k == 0 else " " + part
-            if k and (open_end or not part or part[0].isspace()):
-                out[-1] += piece
-            else:
-                out.append(piece)
-            open_end = not part or part[-1].isspace()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        if len(self.known) > self.most_kept:
-            self.known = {}
-        new = list({p for pieces in cut for p in pieces} - self.known.keys())
-        for begin in range(0, len(new), 5000):
-            part = new[begin : begin + 5000]
-            for piece, got in zip(part, tokenizer(self.path).encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+def token_ids(path: str, text: str) -> bytes:
+    """The ids of a text, little-endian, 32 bits each. Latin-1 texts take the fast encoder, others the tokenizer itself."""
+    slow, fast = encoders(path)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return np.asarray(fast.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -145,10 +132,10 @@ def pack_documents(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("place"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = WordTokens(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for batch in byte_slices(whole, "text", 1 << 20):
-                ids = [x + end for x in coder.encode([t or "" for t in batch.column("text").to_pylist()])]
+                ids = [token_ids(tokenizer_path, t or "") + end for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(ids, pa.binary())], names=["doc_id", "place", "ids"])
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
