@@ -149,3 +149,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op8_pivot_search")
+def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_search import search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    return search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
