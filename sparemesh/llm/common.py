@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..session import checkpoint_dir
 
 # A word is a run of anything but these ASCII characters (JVM and Python regular expressions alike).
 WORD = r"[^\x20\x09-\x0D]+"
+# Spark drops a finished write's shuffle files at once, not when the driver next collects garbage.
+CLEANING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,7 +33,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANING, None)
+    try:
+        spark.conf.set(CLEANING, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANING) if before is None else spark.conf.set(CLEANING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,7 +50,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Ite
     """Cut a batch into runs of rows with at most ``limit`` bytes of text (one row at least)."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     begin = 0
     while begin < batch.num_rows:
         base = ends[begin - 1] if begin else 0
@@ -93,7 +101,7 @@ class Words:
 
     def __init__(self, column: pa.Array, fold: bool = False):
         column = column.cast(pa.large_string())
-        texts = pa.compute.fill_null(column, "")
+        texts = pc.fill_null(column, "")
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -112,6 +120,12 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
         self.hashes = mix64(_sums(BYTE[self.data], BASE, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64))
 
+    def whole(self, row: int, which: int = 0) -> int:
+        """Hash of all words of a row, with their number."""
+        own = mix64(self.hashes[self.first[row] : self.first[row + 1]], which + 11)
+        with np.errstate(over="ignore"):
+            return int(mix64((own * _powers(WORD_BASE[which], len(own))).sum(dtype=np.uint64) + np.array([len(own)], dtype=np.uint64), which + 3).view(np.int64)[0])
+
     def windows(self, width: int, which: int = 0) -> np.ndarray:
         """Hash of the ``width`` words from each word on; the last ones of a row reach into the next row and are not to be used."""
         n = len(self.hashes)
@@ -125,14 +139,13 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def shared_by_two(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
-    """The rows whose key occurs with two different members at least, with the smallest of them as ``least``.
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key occurs twice or more.
 
-    Two plain steps that stand any skew: an aggregate with map-side combine, then a join on the key
-    that the adaptive planner may split. No group is gathered.
+    Two plain steps that stand any skew: a count with map-side combine, then a join on the key that
+    the adaptive planner may split. No group is gathered.
     """
-    groups = rows.groupBy(*keys).agg(F.min(member).alias("least"), F.max(member).alias("most")).where("least < most").drop("most")
-    return rows.join(groups, keys)
+    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), keys)
 
 
 def components(links: DataFrame, label: str) -> DataFrame:

@@ -157,3 +157,24 @@ def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
     return search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP10_SQL = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+numbered AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
+windows AS (SELECT doc_id, words[i:i + 12] AS win, i FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM split WHERE len(words) >= 13)),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+starts AS (SELECT doc_id, i FROM windows JOIN firsts USING (win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM starts, generate_series(0, 12) AS g(k)),
+kept AS (SELECT n.doc_id, n.i, n.word, g.i IS NOT NULL AS removed FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i)
+SELECT s.doc_id, coalesce(len(s.words), 0)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN (SELECT doc_id, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS text FROM kept GROUP BY doc_id) k USING (doc_id)
+"""
+
+
+@query("op10_substring_dedup", OP10_SQL)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    docs = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
