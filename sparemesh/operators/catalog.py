@@ -294,9 +294,7 @@ def enrich(df: DataFrame, prefer: str = "supplied") -> DataFrame:
         extracted = F.col("__x_" + name)
         decided = prefer == "extracted" and name in ENRICHED[:5]
         made[name] = extracted if decided else F.coalesce(own, extracted)
-    made["item_type"] = F.substring(F.coalesce(made["item_type"], F.lit("EQUIPMENT")), 1, 60)
-    made["metallurgy"] = F.substring(made["metallurgy"], 1, 60)
-    made["facing_end"] = F.substring(made["facing_end"], 1, 30)
+    made["item_type"] = F.coalesce(made["item_type"], F.lit("EQUIPMENT"))
     local = F.nullif(F.col("make_in_india_class"), F.lit("")) if "make_in_india_class" in given else F.lit(None)
     if prefer == "extracted":
         made["make_in_india_class"] = F.coalesce(local, F.col("__x_make_in_india_class"), F.lit("Class-I"))

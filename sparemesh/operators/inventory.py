@@ -83,18 +83,24 @@ def depot_surplus(df: DataFrame, cpse: str, depot: str) -> DataFrame:
 
 
 def discover_surplus(
-    df: DataFrame, cpse: str, item_type: str | None = None, max_distance_km: float | None = None, limit: int = 50
+    df: DataFrame, cpse: str, item_type: str | None = None, max_distance_km: float | None = None, limit: int | None = None, compat_limit_first: bool = False
 ) -> DataFrame:
-    """First ``limit`` surplus items of a tenant with distance, then the optional distance cut."""
+    """Surplus items of a tenant with distance, within the optional distance; then perhaps the first ``limit`` by SKU.
+
+    ``compat_limit_first`` takes the limit before the distance cut, as the original does, and so misses items near by.
+    """
     found = df.filter((F.col("cpse") == cpse) & is_surplus())
     if item_type and item_type != ALL:
         found = found.filter(F.col("item_type") == item_type)
-    found = page(found, ["sku_code"], 0, limit)
+    if limit is not None and compat_limit_first:
+        found = page(found, ["sku_code"], 0, limit)
     place = F.coalesce(F.nullif("depot_location", F.lit("")), F.nullif("depot_id", F.lit("")), F.lit("Panipat"))
     target = geo.named_point(place, default=geo.point(geo.CENTRAL))
     found = found.withColumn("__km", geo.road_km(geo.point(geo.PANIPAT), target))
     if max_distance_km:
         found = found.filter(F.col("__km") <= max_distance_km)
+    if limit is not None and not compat_limit_first:
+        found = page(found, ["sku_code"], 0, limit)
     return masked(found, cpse).withColumns(
         {
             "distance_km": F.round("__km", 1),

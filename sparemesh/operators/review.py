@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.sealing import review_id
 
-CAPACITY = 500
-DECISION_CAPACITY = 10_000
 STAMPS = {"APPROVE": "[VERIFIED BY HUMAN EXPERT]", "REJECT": "[REJECTED BY HUMAN EXPERT]"}
 BOOTSTRAP_OFFICER = "CHIEF_MATERIALS_ENGINEER_BOOTSTRAP"
 
@@ -40,41 +38,41 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("__row")).select(*keys, "__row.*")
 
 
-def most_recent(df: DataFrame, order: list[str], capacity: int) -> DataFrame:
-    """The newest ``capacity`` rows, newest first (a top-N, no global window)."""
-    return df.orderBy(*[F.desc(c) for c in order]).limit(capacity)
+def most_recent(df: DataFrame, order: list[str], capacity: int | None) -> DataFrame:
+    """The newest ``capacity`` rows, newest first (a top-N, no global window); None: all rows, in no order."""
+    return df if capacity is None else df.orderBy(*[F.desc(c) for c in order]).limit(capacity)
 
 
-def review_queue(entries: DataFrame, capacity: int = CAPACITY, touched: str = "ts") -> DataFrame:
-    """Queue after all entries: latest entry per id, newest first, at most ``capacity``."""
+def review_queue(entries: DataFrame, capacity: int | None = None, touched: str = "ts") -> DataFrame:
+    """Queue after all entries: latest entry per id, all of them, or the newest ``capacity``."""
     return most_recent(latest(entries, ["id"], [touched]), [touched, "id"], capacity)
 
 
-def bootstrap_queue(matches: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """First fill of an empty queue: the most uncertain entries survive."""
+def bootstrap_queue(matches: DataFrame, capacity: int | None = None) -> DataFrame:
+    """First fill of an empty queue: with ``capacity``, the most uncertain entries survive."""
     entries = review_items(matches)
     unique = latest(entries, ["id"], ["uncertainty", "cosine"])
-    return unique.orderBy(F.desc("uncertainty"), "id").limit(capacity)
+    return unique if capacity is None else unique.orderBy(F.desc("uncertainty"), "id").limit(capacity)
 
 
-def resolve(queue: DataFrame, decisions: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Training examples of the decided entries, the newest ten times the queue's capacity."""
+def resolve(queue: DataFrame, decisions: DataFrame, capacity: int | None = None) -> DataFrame:
+    """Training examples of the decided entries, all of them, or the newest ten times the queue's ``capacity``."""
     examples = queue.join(decisions, "id").select(
         "query",
         F.coalesce(F.nullif("corrected_candidate", F.lit("")), F.nullif("canonical_description", F.lit("")), F.col("canonical_id")).alias("candidate"),
         F.col("accepted").cast("int").alias("label"),
         "cosine", "decided_at", "id",
     )
-    return most_recent(examples, ["decided_at", "id"], capacity * 10).select("query", "candidate", "label", "cosine", "decided_at")
+    return most_recent(examples, ["decided_at", "id"], capacity and capacity * 10).select("query", "candidate", "label", "cosine", "decided_at")
 
 
-def queue_counters(queue: DataFrame, decisions: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pending and resolved entries and the capacity, as one row."""
+def queue_counters(queue: DataFrame, decisions: DataFrame, capacity: int | None = None) -> DataFrame:
+    """Pending and resolved entries and the capacity (null: no bound), as one row."""
     marked = queue.select("id").join(decisions.select("id", F.lit(True).alias("done")).distinct(), "id", "left")
     return marked.agg(
         F.count_if(F.col("done").isNull()).alias("pending_reviews"),
-        F.least(F.count_if(F.col("done").isNotNull()), F.lit(capacity * 10)).alias("resolved_reviews"),
-        F.lit(capacity).alias("review_capacity"),
+        F.count_if(F.col("done").isNotNull()).alias("resolved_reviews"),
+        F.lit(capacity).cast("int").alias("review_capacity"),
     )
 
 
@@ -90,8 +88,8 @@ def latest_stamps(decisions: DataFrame) -> DataFrame:
     return last.select("source_sku", F.when(F.col("decision") == "APPROVE", STAMPS["APPROVE"]).otherwise(STAMPS["REJECT"]).alias("stamp"))
 
 
-def decision_log(decisions: DataFrame, capacity: int = DECISION_CAPACITY) -> DataFrame:
-    """Decisions kept: last per key, newest ``capacity`` of them."""
+def decision_log(decisions: DataFrame, capacity: int | None = None) -> DataFrame:
+    """Decisions kept: last per key, all of them or the newest ``capacity``."""
     return most_recent(latest_decisions(decisions), ["decided_at", "query_text", "source_sku"], capacity)
 
 

@@ -7,13 +7,15 @@ wrong. Yet a popular SKU may have a third of all requests, so a SKU is not one g
 * events are range-partitioned by (SKU, time), so a popular SKU spans many partitions in order;
 * each partition replays its own rows as a stream and keeps only the stock left and the open locks;
 * for the SKU that continues from the partition before, the stock left at the seam and the fate of
-  earlier requests are inputs. They are guessed, and the replay is repeated with the outcome of the
-  last round until the seams agree. The first partition of a SKU is right in the first round, the
-  second at the latest in the second, and so on, so the result is exact.
+  earlier requests are inputs. They are guessed, and partitions whose inputs changed are replayed with the
+  outcome of the last round until the seams agree; the others are settled and not touched again. The
+  first partition of a SKU is right in the first round, the second at the latest in the second, and so
+  on, so the result is exact.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,7 +63,7 @@ def _replay(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def reserve_stock(events: DataFrame, stock: DataFrame, partitions: int | None = None, max_rounds: int = 1000) -> DataFrame:
+def reserve_stock(events: DataFrame, stock: DataFrame, partitions: int | None = None) -> DataFrame:
     """Outcome of every stock event.
 
     Events: event_id, ts, requisition_id, sku_code, event_type (CREATE, REJECT, DELIVER), quantity.
@@ -83,28 +85,36 @@ def reserve_stock(events: DataFrame, stock: DataFrame, partitions: int | None =
             carried[later["__part"]] = later["first"]
     seams: dict[int, int] = {}
     grants = None
-    for _ in range(max_rounds):
-        result = checkpointed(_run(spark, ranged, carried, seams, grants))
+    left: dict[tuple[str, int], int] = {}
+    pieces: list[tuple[DataFrame, set[int]]] = []
+    todo = {row["__part"] for row in ends}
+    # a chain of partitions settles from its start, one at least per round
+    for _ in range(len(ends) + 2):
+        replayed = ranged.filter(F.col("__part").isin(sorted(todo))) if pieces else ranged
+        part_result = checkpointed(_run(spark, replayed, carried, seams, grants))
+        pieces = [(df, parts - todo) for df, parts in pieces if parts - todo] + [(part_result, set(todo))]
+        result = functools.reduce(DataFrame.unionByName, [df.filter(F.col("__part").isin(sorted(parts))) for df, parts in pieces]) if len(pieces) > 1 else part_result
         if not carried:
-            break
+            return result.drop("__part")
         last = (
-            result.join(F.broadcast(_seam_keys(spark, carried)), ["sku_code"])
+            part_result.join(F.broadcast(_seam_keys(spark, carried)), ["sku_code"])
             .groupBy("sku_code", "__part")
             .agg(F.max_by("stock_left", F.struct("ts", "event_id")).alias("left"))
             .collect()
         )
-        left = {(r["sku_code"], r["__part"]): r["left"] for r in last}
+        left |= {(r["sku_code"], r["__part"]): r["left"] for r in last}
         found = {}
         for part, sku in carried.items():
             before = max((p for s, p in left if s == sku and p < part), default=None)
             found[part] = left[(sku, before)]
         # the fate of requests whose later events lie in another partition
         new_grants = _crossing(result, spark, carried)
-        changed = grants is None or new_grants.exceptAll(grants).unionByName(grants.exceptAll(new_grants)).limit(1).count() > 0
-        if found == seams and not changed:
-            break
+        differ = new_grants if grants is None else new_grants.exceptAll(grants).unionByName(grants.exceptAll(new_grants))
+        todo = {part for part in carried if found[part] != seams.get(part)} | {r["__part"] for r in differ.select("__part").distinct().collect()}
+        if not todo:
+            return result.drop("__part")
         seams, grants = found, new_grants
-    return result.drop("__part")
+    raise RuntimeError("the stock replay did not settle")
 
 
 def _seam_keys(spark, carried) -> DataFrame:

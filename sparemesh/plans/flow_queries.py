@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import DOMAINS
@@ -138,12 +140,12 @@ def requisition_passes(spark, sf_dir):
         "inventory",
         """SELECT sku_code, coalesce(s, status) AS status, is_broadcasted_surplus OR coalesce(b, false) AS is_broadcasted_surplus FROM inventory LEFT JOIN
            (SELECT sku, arg_max(new_status, event_id) AS s, bool_or(new_status = 'IDLE_SURPLUS') AS b FROM
-             (SELECT 'SKU-' || l_partkey || '-' || l_suppkey AS sku, CASE l_linenumber % 3 WHEN 0 THEN 'IDLE_SURPLUS' WHEN 1 THEN 'HITL_REVIEW' ELSE 'TO_BE_CONSUMED' END AS new_status, l_orderkey * 100 + l_linenumber AS event_id FROM lineitem WHERE l_returnflag = 'R')
+             (SELECT 'SKU-' || l_partkey || '-' || l_suppkey AS sku, CASE l_linenumber % 3 WHEN 0 THEN 'IDLE_SURPLUS' WHEN 1 THEN 'HITL_REVIEW' ELSE 'TO_BE_CONSUMED' END AS new_status, l_orderkey * 100 + l_linenumber AS event_id FROM lineitem)
             GROUP BY sku) ON sku = sku_code""",
     ),
 )
 def transitions(spark, sf_dir):
-    line = V.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")  # returned lines change the status
+    line = V.table(spark, sf_dir, "lineitem")  # every line changes the status
     items = V.inventory(spark, sf_dir)
     moves = line.select(
         F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("sku_code"),
@@ -241,7 +243,7 @@ DECISIONS = """SELECT 'query ' || (event_id % 300) AS query_text, 'SKU-' || (use
       'Tier ' || (event_id % 3 + 1) AS tier_override, 'user-' || user_id AS username, event_id AS decided_at FROM events"""
 
 
-@query("h5_decision_log", O.sql("", "SELECT query_text, source_sku, decision, tier_override FROM (SELECT *, row_number() OVER (PARTITION BY query_text, source_sku ORDER BY decided_at DESC) AS n FROM d) WHERE n = 1 ORDER BY decided_at DESC, query_text DESC, source_sku DESC LIMIT 10000", d=DECISIONS))
+@query("h5_decision_log", O.sql("", "SELECT query_text, source_sku, decision, tier_override FROM (SELECT *, row_number() OVER (PARTITION BY query_text, source_sku ORDER BY decided_at DESC) AS n FROM d) WHERE n = 1", d=DECISIONS))
 def decision_log(spark, sf_dir):
     return review.decision_log(decisions(spark, sf_dir)).select("query_text", "source_sku", "decision", "tier_override")
 
@@ -282,7 +284,7 @@ def sightings(spark, sf_dir):
 
 SEEN = """SELECT query, canonical_id, similarity, ts, canonical_description, sha256('["' || query || '","' || canonical_id || '"]') AS id, 1.0 - least(1.0, abs(similarity - 0.5) * 2) AS uncertainty FROM (
       SELECT 'part ' || l_partkey AS query, 'CAN-' || l_suppkey AS canonical_id, ((l_partkey * 7 + l_suppkey) % 100) / 100.0::DOUBLE AS similarity, l_orderkey * 1000 + l_partkey AS ts, 'item ' || l_suppkey AS canonical_description FROM lineitem) WHERE similarity < 0.85"""
-QUEUE = "SELECT id, max(ts) AS ts, any_value(query) AS query, any_value(canonical_id) AS canonical_id, any_value(similarity) AS similarity, any_value(canonical_description) AS canonical_description FROM seen GROUP BY id ORDER BY 2 DESC, 1 DESC LIMIT 500"
+QUEUE = "SELECT id, max(ts) AS ts, any_value(query) AS query, any_value(canonical_id) AS canonical_id, any_value(similarity) AS similarity, any_value(canonical_description) AS canonical_description FROM seen GROUP BY id"
 
 
 @query("h1_review_items", O.sql("", "SELECT id, round(uncertainty, 9) AS uncertainty, similarity, ts FROM seen", seen=SEEN))
@@ -307,13 +309,13 @@ def examples(spark, sf_dir):
     return review.resolve(entries, queue_decisions(entries)).select("query", "candidate", "label", "cosine")
 
 
-@query("a9_queue_counters", O.sql("", "SELECT count(*) FILTER (ts % 2 <> 0) AS pending_reviews, count(*) FILTER (ts % 2 = 0) AS resolved_reviews, 500 AS review_capacity FROM queue", seen=SEEN, queue=QUEUE))
+@query("a9_queue_counters", O.sql("", "SELECT count(*) FILTER (ts % 2 <> 0) AS pending_reviews, count(*) FILTER (ts % 2 = 0) AS resolved_reviews, NULL::INT AS review_capacity FROM queue", seen=SEEN, queue=QUEUE))
 def counters(spark, sf_dir):
     entries = review.review_queue(review.review_items(sightings(spark, sf_dir)))
     return review.queue_counters(entries, queue_decisions(entries))
 
 
-@query("h4_bootstrap_queue", O.sql("", "SELECT id, round(max(uncertainty), 9) AS uncertainty FROM seen GROUP BY id ORDER BY max(uncertainty) DESC, id LIMIT 500", seen=SEEN))
+@query("h4_bootstrap_queue", O.sql("", "SELECT id, round(max(uncertainty), 9) AS uncertainty FROM seen GROUP BY id", seen=SEEN))
 def bootstrap(spark, sf_dir):
     return review.bootstrap_queue(sightings(spark, sf_dir)).select("id", F.round("uncertainty", 9).alias("uncertainty"))
 
@@ -397,7 +399,7 @@ def closure_recursive(spark, sf_dir):
     ),
 )
 def compatible(spark, sf_dir):
-    wanted = V.requests(spark, sf_dir).filter("metallurgy is not null").select(
+    wanted = V.requests(spark, sf_dir).select(
         "request_id", "item_type", F.concat(F.col("size_nb_mm").cast("string"), F.lit(" mm")).alias("size_value"), F.concat(F.col("pressure_class").cast("string"), F.lit("#")).alias("class_value"), F.col("metallurgy").alias("metal_value"),
     )
     items = payload(spark, sf_dir)
@@ -583,13 +585,13 @@ def bio(spark, sf_dir):
     return training.bio_tags(tokens(spark, sf_dir), spans(spark, sf_dir)).select("text_id", "token_no", "tag")
 
 
-@query("l7_entity_scores", O.sql("", "SELECT label, tp, fp, fn, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM (SELECT 'COLOR' AS label, count(*) AS tp, 0 AS fp, 0 AS fn FROM part UNION ALL SELECT 'NAME', count(*) FILTER (p_partkey % 3 <> 0), count(*) FILTER (p_partkey % 3 = 0 AND p_partkey % 2 = 0), count(*) FILTER (p_partkey % 3 = 0) FROM part)"))
+@query("l7_entity_scores", O.sql("", "SELECT label, tp, fp, fn, round(f1, 9) AS f1 FROM (SELECT *, 2.0 * tp / (2 * tp + fp + fn) AS f1 FROM s UNION ALL SELECT 'macro', sum(tp), sum(fp), sum(fn), avg(2.0 * tp / (2 * tp + fp + fn)) FROM s)", s="SELECT 'COLOR' AS label, count(*) AS tp, 0 AS fp, 0 AS fn FROM part UNION ALL SELECT 'NAME', count(*) FILTER (p_partkey % 3 <> 0), count(*) FILTER (p_partkey % 3 = 0 AND p_partkey % 2 = 0), count(*) FILTER (p_partkey % 3 = 0) FROM part"))
 def entity_scores(spark, sf_dir):
     truth = spans(spark, sf_dir)
     k = F.col("text_id")
     wrong = (F.col("label") == "NAME") & (F.pmod(k, F.lit(3)) == 0)
     guess = truth.filter(~wrong | (F.pmod(k, F.lit(2)) == 0)).withColumn("end", F.when(wrong, F.col("end") + 1).otherwise(F.col("end")))
-    return training.entity_scores(guess, truth, SPAN_LABELS).filter("label <> 'macro'").select("label", "tp", "fp", "fn", F.round("f1", 9).alias("f1"))
+    return training.entity_scores(guess, truth, SPAN_LABELS).select("label", "tp", "fp", "fn", F.round("f1", 9).alias("f1"))
 
 
 @query("l8_retrieval_tables", O.sql("", "SELECT 'query-' || doc_id AS query_id, source AS document_id, len(text)::BIGINT AS query_chars FROM documents"))
@@ -694,11 +696,11 @@ def plain_search(spark, sf_dir):
     return vectors.search(q, c, top_k=25, rerank=False).select("query_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("v4_unit_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding[1:16] AS DOUBLE[]), lambda x: x * x))), 6) AS before, 1.0::DOUBLE AS after FROM embeddings")
+@query("v4_unit_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS before, 1.0::DOUBLE AS after FROM embeddings")
 def unit_vectors(spark, sf_dir):
     from ..functions.vector import norm, unit
 
-    e = V.table(spark, sf_dir, "embeddings").withColumn("d", F.slice("embedding", 1, 16))
+    e = V.table(spark, sf_dir, "embeddings").withColumn("d", F.col("embedding"))
     return e.select("vec_id", F.round(norm(F.col("d")), 6).alias("before"), F.round(norm(unit(F.col("d"))), 6).alias("after"))
 
 
@@ -713,12 +715,17 @@ def pair_cosines(spark, sf_dir):
 
 @query(
     "l5_retrieval_metrics",
-    O.sql("vectors", "SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 9) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 9) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 9) AS recall_at_10, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END), 9) AS mrr_at_10 FROM (SELECT q.vec_id, (SELECT min(h.rank) FROM hits h WHERE h.query_id = q.vec_id AND h.domain = 'met' AND h.item_id = q.vec_id - q.vec_id % 10 + (q.vec_id + 1) % 10) AS rank FROM vectors q)", hits=HITS),
+    O.sql("vectors", "SELECT domain, count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 9) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 9) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 9) AS recall_at_10, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END), 9) AS mrr_at_10 FROM (SELECT d.domain, q.vec_id, (SELECT min(h.rank) FROM hits h WHERE h.query_id = q.vec_id AND h.domain = d.domain AND h.item_id = q.vec_id - q.vec_id % 10 + (q.vec_id + 1) % 10) AS rank FROM vectors q, (SELECT DISTINCT domain FROM hits) d) GROUP BY domain", hits=HITS),
 )
 def metrics(spark, sf_dir):
     q, c = sides(spark, sf_dir)
-    ranked = vectors.top_by_domain(q, c, 25).filter("domain = 'met'")
+    ranked = vectors.top_by_domain(q, c, 25)
     k = F.col("query_id")
     relevant = q.select("query_id", (k - F.pmod(k, F.lit(10)) + F.pmod(k + 1, F.lit(10))).alias("item_id"))
-    out = training.retrieval_metrics(ranked, relevant, "query_id", "item_id")
-    return out.select("queries", *[F.round(n, 9).alias(n) for n in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr_at_10")])
+    names = ("recall_at_1", "recall_at_5", "recall_at_10", "mrr_at_10")
+
+    def one(domain):
+        out = training.retrieval_metrics(ranked.filter(F.col("domain") == domain), relevant, "query_id", "item_id")
+        return out.select(F.lit(domain).alias("domain"), "queries", *[F.round(n, 9).alias(n) for n in names])
+
+    return functools.reduce(DataFrame.unionByName, [one(d) for d in DOMAINS])

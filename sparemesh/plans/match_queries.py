@@ -139,9 +139,13 @@ def psi_rule(spark, sf_dir):
     return pairs.withColumn("out", core.pressure_psi_rule(psi(F.col("q"), 7), psi(F.col("c"), 9))).select("q", "c", *rule_columns(pairs)).withColumn("score", F.round("score", 9))
 
 
-@query("r4_metal_rule", O.sql("parts", f"SELECT q, c, {METAL_TIER} AS tier, round(({METAL_SCORE})::DOUBLE, 9) AS score, {METAL_CODE} AS code FROM sides WHERE NOT ({NO_METAL})", **CORE))
+# the rule alone, without the guard for pairs that name no metal at all
+RULE_TIER, RULE_SCORE, RULE_CODE = (O.case([(b[0], pick(b)) for b in METAL_BRANCHES], rest) for pick, rest in ((lambda b: str(b[1]), "2"), (lambda b: b[2], "0.82"), (lambda b: O.lit(b[3]), "NULL")))
+
+
+@query("r4_metal_rule", O.sql("parts", f"SELECT q, c, {RULE_TIER} AS tier, round(({RULE_SCORE})::DOUBLE, 9) AS score, {RULE_CODE} AS code FROM sides", **CORE))
 def metal_rule(spark, sf_dir):
-    pairs = pair_sides(spark, sf_dir).filter("q_metal is not null or c_metal is not null")
+    pairs = pair_sides(spark, sf_dir)
     rule = core.metal_rule(*[F.col(s + n) for n in ("metal", "metal_name", "metal_family") for s in ("q_", "c_")])
     return pairs.withColumn("out", rule).select("q", "c", *rule_columns(pairs)).withColumn("score", F.round("score", 9))
 

@@ -63,7 +63,7 @@ LOC = point_sql("depot_location")
         f"""SELECT sku_code, item_type, round(km, 1) AS distance_km, round(km / 40.0 + 4.0, 1) AS transit_hours,
               round(greatest(0.0, 100000.0 - km * 60.0) / 1000.0, 1) AS co2_saved_kg, unit_cost_inr
             FROM (SELECT *, {O.road_km(P_LAT, P_LON, LOC[0], LOC[1])} AS km FROM
-              (SELECT * FROM inventory WHERE cpse = 'T2' AND {SURPLUS} AND item_type = 'FLANGE' ORDER BY sku_code LIMIT 50)) WHERE km <= 1600""",
+              (SELECT * FROM inventory WHERE cpse = 'T2' AND {SURPLUS} AND item_type = 'FLANGE')) WHERE km <= 1600""",
     ),
 )
 def discover(spark, sf_dir):

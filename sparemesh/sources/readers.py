@@ -72,9 +72,20 @@ def training_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_bytes(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
-    """Documents of the accepted types with 1 byte to 15 MB; without ``content`` only the listing is read."""
+    """Documents of the accepted types with 1 byte to 15 MB; without ``content`` only the listing is read.
+
+    ``rejected_documents`` lists the other files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kept = files.filter(kind.isin(*DOCUMENT_TYPES) & F.col("length").between(1, MAX_DOCUMENT_BYTES))
     columns = ["path", "length", "modificationTime", kind.alias("extension")]
     return kept.select(*columns, *(["content"] if content else []))
+
+
+def rejected_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Files ``document_bytes`` leaves out, with the reason: TYPE or TOO_LARGE. Only the listing is read; the scan itself never lists empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    reason = F.when(~kind.isin(*DOCUMENT_TYPES), "TYPE").when(F.col("length") > MAX_DOCUMENT_BYTES, "TOO_LARGE")
+    return files.select("path", "length", reason.alias("reason")).filter("reason is not null")

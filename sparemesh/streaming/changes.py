@@ -138,8 +138,11 @@ def backfill_and_follow(items: DataFrame, stream: DataFrame, root: str, checkpoi
 
 
 def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Fold all stored changes into one batch under another root; deletions are dropped."""
-    last = last_changes(stored_changes(spark, root)).filter("operation <> 'DELETE'")
+    """Fold all stored changes into one batch under another root.
+
+    Deletions stay as rows, so that a late change with a lower id cannot bring a deleted record back.
+    """
+    last = last_changes(stored_changes(spark, root))
     last.write.mode("overwrite").parquet(f"{target}/changes/batch=base")
 
 

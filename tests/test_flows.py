@@ -249,6 +249,11 @@ def test_review_queue(spark):
     assert {r["query"] for r in boot} == {"u1", "u2"}
     queue = review.review_queue(review.review_items(df), 2)
     assert [(r["query"], r["similarity"]) for r in queue.collect()] == [("x", 0.6), ("u2", 0.49)]
+    many = spark.range(1001).select(F.concat(F.lit("q"), "id").alias("query"), F.lit("A").alias("canonical_id"), F.lit(0.5).alias("similarity"), F.lit("Tier-3").alias("tier"), F.col("id").alias("ts"))
+    kept = review.review_queue(review.review_items(many))
+    assert kept.count() == 1001
+    done = kept.select("id", F.lit(True).alias("accepted"))
+    assert tuple(review.queue_counters(kept, done).first()) == (0, 1001, None)
     ident = hashlib.sha256('["x","B"]'.encode()).hexdigest()
     assert ident in {r["id"] for r in queue.collect()}
     decided = spark.createDataFrame([(ident, True, None, 9)], "id string, accepted boolean, corrected_candidate string, decided_at long")

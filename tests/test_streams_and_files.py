@@ -55,7 +55,14 @@ def test_change_feed(spark, tmp_path):
     assert changes.stored_changes(spark, root).filter("id = 3").count() >= 1 and before >= 4
     assert not changes.backfill(spark.createDataFrame([("z",)], "sku_code string"), root)
     changes.compact(spark, root, str(tmp_path / "folded"))
-    assert {r["sku_code"] for r in changes.current_records(spark, str(tmp_path / "folded")).collect()} == {"a"}
+    folded = str(tmp_path / "folded")
+    assert {r["sku_code"] for r in changes.current_records(spark, folded).collect()} == {"a"}
+    # a late change with a lower id does not bring back what was deleted
+    gone = changes.stored_changes(spark, folded).filter("operation = 'DELETE'").select("table_name", "record_key", "id")
+    assert gone.count() > 0
+    late = changes.stored_changes(spark, root).filter("operation <> 'DELETE'").join(gone.select("table_name", "record_key"), ["table_name", "record_key"], "left_semi")
+    late.write.mode("overwrite").parquet(f"{folded}/changes/batch=late")
+    assert {r["sku_code"] for r in changes.current_records(spark, folded).collect()} == {"a"}
 
 
 def test_stock_stream_equals_plain_replay(spark, tmp_path):
@@ -107,6 +114,8 @@ def test_documents_by_type_and_size(spark, tmp_path):
         f.truncate(readers.MAX_DOCUMENT_BYTES + 1)
     found = {r["path"].rsplit("/", 1)[1]: len(r["content"]) for r in readers.document_bytes(spark, str(tmp_path)).collect()}
     assert found == {"a.pdf": 10, "b.PNG": 5}
+    left_out = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in readers.rejected_documents(spark, str(tmp_path)).collect()}
+    assert left_out == {"c.txt": "TYPE", "big.pdf": "TOO_LARGE"}
 
 
 def test_json_and_pairs(spark, tmp_path):
