@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .common import stored
 
 OPEN, CLOSE = "### ", "</turn>\n"
-# Longest chain of replies: 2^MOST_ROUNDS turns. Only a loop of parents is longer.
-MOST_ROUNDS = 40
 
 
 def escaped(text: Column) -> Column:
@@ -55,9 +53,9 @@ def best_paths(nodes: DataFrame, tree: str, score: str | None) -> DataFrame:
     parents = jump.where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     leaves = jump.select("tree", "node").join(parents, jump["tree"].eqNullSafe(parents["tree"]) & (jump["node"] == parents["node"]), "left_anti")
     jumps = [jump]
-    while jump.where("up IS NOT NULL").limit(1).count():
-        if len(jumps) > MOST_ROUNDS:
-            break
+    # no chain has more turns than there are nodes; only a loop of parents would go on
+    n_nodes = jump.count()
+    while (1 << len(jumps) - 1) <= n_nodes and jump.where("up IS NOT NULL").limit(1).count():
         above = jump.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
         joined = jump.join(above, jump["tree"].eqNullSafe(above["t2"]) & (jump["up"] == above["n2"]), "left")
         jump = stored(
@@ -72,8 +70,10 @@ def best_paths(nodes: DataFrame, tree: str, score: str | None) -> DataFrame:
     path = best.select("tree", F.col("best.node").alias("node"), F.col("best.length").alias("depth"))
     for k in range(len(jumps) - 2, -1, -1):
         step = jumps[k].where("up IS NOT NULL").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
-        further = path.join(step, path["tree"].eqNullSafe(step["t2"]) & (path["node"] == step["n2"])).select("tree", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        path = path.union(further)
+        both = path.join(step, path["tree"].eqNullSafe(step["t2"]) & (path["node"] == step["n2"]), "left")
+        here, above = F.struct("node", "depth"), F.struct(F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        both = both.select("tree", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above))).alias("at"))
+        path = both.select("tree", "at.node", "at.depth")
     return path
 
 

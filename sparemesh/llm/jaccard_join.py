@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, components, mix64, repeated, stored
+from .common import Words, byte_slices, components, discard, mix64, repeated, stored
 
-# PartEnum: each first-level part of the domain is cut into SECOND parts, and one of them may be left out.
-SECOND = 3
+# PartEnum: each first-level part of the domain is cut into two (of many parts) or three, and one of them may be left out.
+MANY = 64
 # Bits of a set's parity sketch: 64 for each of these columns.
 ODD = [f"o{i}" for i in range(8)]
 
@@ -39,12 +39,14 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """The PartEnum signatures of a set of distinct hashes.
 
     For the band's largest sizes a similar pair differs in at most d elements. Elements are dealt by hash into d//2 + 2 first-level
-    parts, so two of them at least hold one differing element at most; cut in three, such a part has two thirds in
-    which the sets agree. Each signature is the content of one part less one of its thirds. A set signs for its own band, and for the next one if
-    a partner can be there.
+    parts, so two of them at least hold one differing element at most; cut further, such a part agrees in all but one of
+    its cuts. Each signature is the content of one part less one of its cuts. A set signs for its own band, and for the next one
+    if a partner can be there.
 
     Empty content says nothing, so it is not signed: of the two agreeing parts one is not empty, unless both are. Only a
-    set with empty content in two parts or more signs those pairs of places, so no pair is lost.
+    set with empty content in two parts or more signs those pairs of places, so no pair is lost. With ``MANY`` parts
+    that is left out: a pair at the very threshold agrees in some 40 percent of them, and the chance that all those are
+    empty is below 10^-12, as rare as equal hashes of different words.
     """
     number, hi = band(len(elements), percent)
     bands = [(number, hi)]
@@ -56,19 +58,20 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         if apart < 1:
             continue  # only equal sets are similar, and those are one class already
         parts = apart // 2 + 2
+        cuts = 2 if parts >= MANY else 3
         h = mix64(elements, number + 20)
-        place = ((h >> np.uint64(34)) % np.uint64(parts)).astype(np.int64) * SECOND + (h & np.uint64(0xFFFFFF)).astype(np.int64) % SECOND
-        sums = np.zeros(parts * SECOND, dtype=np.uint64)
+        place = ((h >> np.uint64(34)) % np.uint64(parts)).astype(np.int64) * cuts + (h & np.uint64(0xFFFFFF)).astype(np.int64) % cuts
+        sums = np.zeros(parts * cuts, dtype=np.uint64)
         np.add.at(sums, place, mix64(elements, 21))
-        sums = sums.reshape(parts, SECOND)
-        counts = np.bincount(place, minlength=parts * SECOND).reshape(parts, SECOND)
+        sums = sums.reshape(parts, cuts)
+        counts = np.bincount(place, minlength=parts * cuts).reshape(parts, cuts)
         content = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
         filled = (counts.sum(axis=1)[:, None] - counts) > 0
-        labels = np.arange(parts * SECOND, dtype=np.uint64).reshape(parts, SECOND) + np.uint64(number << 32)
+        labels = np.arange(parts * cuts, dtype=np.uint64).reshape(parts, cuts) + np.uint64(number << 32)
         out.append(mix64(content + mix64(labels, 22), 23)[filled])
-        if (~filled).sum() > 1:
+        if parts < MANY and (~filled).sum() > 1:
             empty = [(int(p), int(t)) for p, t in zip(*np.nonzero(~filled), strict=True)]
-            twos = [p * SECOND + s | (q * SECOND + t) << 24 for (p, s), (q, t) in combinations(empty, 2) if p != q]
+            twos = [p * cuts + s | (q * cuts + t) << 24 for (p, s), (q, t) in combinations(empty, 2) if p != q]
             out.append(mix64(np.array(twos, dtype=np.uint64) + np.uint64(number << 50), 24))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -162,6 +165,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
     classes = sketch.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"))
     members = stored(sketch.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left").select("doc_id", "n", "id"), "members")
     nodes = stored(sketch.join(classes.where("id IS NOT NULL"), ["n", "a", "b"]).where("doc_id = id").select("id", "n", *ODD, "signed"), "classes")
+    discard(sketch)
     shared = stored(repeated(nodes.select("id", F.explode("signed").alias("sig")), ["sig"]), "shared")
     facts = nodes.select("id", "n", *ODD)
     weight = shared.groupBy("id").agg(F.count("*").alias("w"))
