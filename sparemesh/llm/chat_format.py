@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +54,21 @@ def best_paths(nodes: DataFrame, tree: str, score: str | None) -> DataFrame:
     jump = stored(n.select("tree", "node", F.col("n2").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length")), "jump-0")
     parents = jump.where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     leaves = jump.select("tree", "node").join(parents, jump["tree"].eqNullSafe(parents["tree"]) & (jump["node"] == parents["node"]), "left_anti")
-    jumps = [jump]
+    # a node that has reached its root is not joined or written again
+    jumps, complete = [jump], [jump.where("up IS NULL")]
     # no chain has more turns than there are nodes; only a loop of parents would go on
     n_nodes = jump.count()
     while (1 << len(jumps) - 1) <= n_nodes and jump.where("up IS NOT NULL").limit(1).count():
-        above = jump.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
-        joined = jump.join(above, jump["tree"].eqNullSafe(above["t2"]) & (jump["up"] == above["n2"]), "left")
+        still = jump.where("up IS NOT NULL")
+        above = reduce(DataFrame.union, complete, still).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
+        joined = still.join(above, still["tree"].eqNullSafe(above["t2"]) & (still["up"] == above["n2"]), "left")
         jump = stored(
             joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")),
             f"jump-{len(jumps)}",
         )
         jumps.append(jump)
-    complete = jump.where("up IS NULL")
+        complete.append(jump.where("up IS NULL"))
+    complete = reduce(DataFrame.union, complete)
     ranked = complete.join(leaves.select(F.col("tree").alias("t2"), F.col("node").alias("n2")), complete["tree"].eqNullSafe(F.col("t2")) & (complete["node"] == F.col("n2")), "left_semi")
     rank = F.struct((F.col("total") / F.col("length")).alias("mean"), "length", (-F.col("node")).alias("first"))
     best = ranked.groupBy("tree").agg(F.max_by(F.struct("node", "length"), rank).alias("best"))
