@@ -35,9 +35,8 @@ class GlobAutomaton:
             self.start[at // 64] |= ONE << np.uint64(at % 64)
             for byte in glob.encode():
                 if byte in b"*~":
-                    self.loop[:, at // 64] |= ONE << np.uint64(at % 64)
-                    if byte == ord("~"):
-                        self.loop[ord("/"), at // 64] &= ~(ONE << np.uint64(at % 64))
+                    runs_on = np.arange(256) != ord("/") if byte == ord("~") else np.ones(256, dtype=bool)
+                    self.loop[runs_on, at // 64] |= ONE << np.uint64(at % 64)
                 else:
                     at += 1
                     self.step[byte, at // 64] |= ONE << np.uint64(at % 64)
