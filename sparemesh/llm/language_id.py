@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import byte_slices, stored
+from .common import byte_slices, discard, stored
 
 # A word of more bytes is cut: the network never runs over more than this many steps.
 MOST_BYTES = 32
@@ -87,15 +87,17 @@ class ByteGru:
         result[order] = sums
         return result, np.array([len(w) for w in words])
 
-    def train(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int, batch: int, seed: int, rate: float = 0.02) -> None:
-        """Backpropagation through time with Adam; each byte position of a word carries the word's label."""
+    def train(self, words: list[bytes], labels: np.ndarray, copies: np.ndarray, steps: int, seed: int, rate: float = 0.02) -> None:
+        """Backpropagation through time with Adam; each byte position of a word carries the word's label.
+
+        The draws (``copies`` of each word) are shuffled and dealt into ``steps`` batches, so each is seen exactly once.
+        """
         self.start(seed)
         rng = np.random.default_rng(seed + 1)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        chance = np.cumsum(weights / weights.sum())
-        for step in range(1, steps + 1):
-            pick = np.minimum(np.searchsorted(chance, rng.random(batch)), len(words) - 1)
+        draws = rng.permutation(np.repeat(np.arange(len(words)), copies))
+        for step, pick in enumerate(np.array_split(draws, min(steps, len(draws))), 1):
             pick = pick[np.argsort([-len(words[i]) for i in pick], kind="stable")]
             grads = self._gradients([words[i] for i in pick], labels[pick])
             now = rate * min(1.0, 2.0 * (1 - step / (steps + 1)))
@@ -163,42 +165,53 @@ def training_sample(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
     return docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi").select("lang", "text")
 
 
+def counted_pieces(sample: DataFrame) -> DataFrame:
+    """(lang, piece, n): how often each label's texts have each word with a letter; a longer word counts by its pieces."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found.update((lang, piece) for w in BLANKS.findall(text) if lettered(w) for piece in word_pieces(w))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["lang", "piece", "n"])
+
+    return sample.mapInArrow(count, "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+
+
+def training_draws(counts: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(lang, piece, copies): about ``draws`` training examples, the same number for every label that has a word.
+
+    Within a label a piece is expected ``draws`` / labels times its share of the square roots of the counts, so that rare words
+    are seen too. A seeded hash rounds that up or down: every piece has its chance, however many there are.
+    """
+    # whole numbers: their sum does not depend on its order
+    weighed = counts.withColumn("w", F.round(F.sqrt("n") * 65536).cast("long"))
+    totals = weighed.groupBy("lang").agg(F.sum("w").alias("total")).collect()
+    shares = counts.sparkSession.createDataFrame([(r.lang, draws / len(totals) / r.total) for r in totals], "lang string, share double")
+    chance = F.pmod(F.xxhash64("lang", "piece", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    rounded = weighed.join(F.broadcast(shares), "lang").withColumn("copies", F.floor(F.col("w") * F.col("share") + chance).cast("long"))
+    return rounded.where("copies > 0").select("lang", "piece", "copies")
+
+
 def fit_languages(docs: DataFrame, per_language: int = 320, most_languages: int = 200, steps: int = 400, batch: int = 256, seed: int = 5) -> ByteGru | None:
     """Train on a bounded sample of labelled rows: ``per_language`` documents of each of the ``most_languages`` commonest labels.
 
-    Only word counts of the sample reach the driver; None if no row is labelled.
+    All words of the sample take part; the ``steps * batch`` examples of the training are drawn from them where they are
+    counted, and only those reach the driver. None if no row is labelled.
     """
     common = [r.lang for r in docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id")).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
     if not common:
         return None
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found.update((lang, w) for w in BLANKS.findall(text) if lettered(w))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
-
-    sample = training_sample(docs.where(F.col("lang").isin(common)), per_language, seed)
-    # at most 100,000 words, the commonest; they hold nearly all text of the sample
-    rows = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(100_000).toArrow()
+    counts = stored(counted_pieces(training_sample(docs.where(F.col("lang").isin(common)), per_language, seed)), "language-pieces")
+    rows = training_draws(counts, steps * batch, seed).toArrow()
+    discard(counts)
+    drawn = sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True))
+    if not drawn:
+        return None
     model = ByteGru(sorted(common))
     places = {lang: i for i, lang in enumerate(model.languages)}
-    words, labels, weights = [], [], []
-    totals = Counter()
-    for lang, word, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-        totals[lang] += n
-        for piece in word_pieces(word):
-            words.append(piece)
-            labels.append(places[lang])
-            weights.append(n)
-    if not words:
-        return None
-    # every language weighs the same; a word's share is dampened, so that rare words are seen too
-    labels = np.array(labels)
-    weights = np.sqrt(np.array(weights, dtype=float))
-    weights /= np.bincount(labels, weights=weights, minlength=len(places))[labels]
-    model.train(words, labels, weights, steps, batch, seed)
+    words = [piece for _, piece, _ in drawn]
+    model.train(words, np.array([places[lang] for lang, _, _ in drawn]), np.array([n for _, _, n in drawn]), steps, seed)
     return model
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparemesh.llm.language_id import ByteGru, identify_languages
+from sparemesh.llm.language_id import ByteGru, identify_languages, training_draws
 from sparemesh.llm.quality_ratio import quality_filter, text_statistics
 from sparemesh.llm.url_filter import GlobAutomaton, filter_urls
 
@@ -175,3 +175,30 @@ def test_language_held_out_accuracy(spark, sf_dir):
     found = identify_languages(docs)
     right = found.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
     assert right[1] > 20 and right[0] >= 0.95
+
+
+def test_every_label_is_learned(spark):
+    """Many labels with more words than any one list holds, and a script without blanks whose runs are all unique."""
+    rng, rows = random.Random(4), []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for k in range(12):
+        own = letters[2 * k : 2 * k + 2] + chr(0x430 + k)
+        rows += [(1000 * k + i, " ".join("".join(rng.choices(own, k=12)) for _ in range(50)), f"l{k:02}") for i in range(440)]
+    rows += [(50_000 + i, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60)), "zh") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = identify_languages(docs, steps=150).where("held_out").groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right")).collect()
+    assert len(found) == 13 and min(r.right for r in found) > 0.9
+
+
+def test_draws_are_even_over_labels(spark):
+    rows = [("a", f"w{i}".encode(), 1) for i in range(30_000)] + [("b", b"one", 7)] + [("c", f"w{i}".encode(), 1 + 99 * (i < 10)) for i in range(1000)]
+    counts = spark.createDataFrame(rows, "lang string, piece binary, n long")
+    drawn = training_draws(counts, 6000, 5).collect()
+    total = Counter()
+    for r in drawn:
+        total[r.lang] += r.copies
+    assert total["b"] == pytest.approx(2000, abs=1) and all(abs(total[k] - 2000) < 200 for k in "ac")
+    often = {r.piece: r.copies for r in drawn if r.lang == "c"}
+    assert all(often[f"w{i}".encode()] == pytest.approx(10 * 2000 / 1090, abs=1) for i in range(10))
+    assert sorted(drawn) == sorted(training_draws(counts.repartition(7), 6000, 5).collect())
+    assert training_draws(counts.limit(0), 6000, 5).collect() == []
