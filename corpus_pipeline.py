@@ -26,9 +26,14 @@ def as_documents(df: DataFrame) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; ``lang`` becomes the predicted one. Texts without a letter go."""
-    judged = identify_languages(docs.select(*COLUMNS))
-    return as_documents(judged.where("lang_pred != 'und'").withColumn("lang", F.col("lang_pred")))
+    """Documents with a letter; ``lang`` becomes the predicted one. Null texts and texts without a letter go.
+
+    Where nothing can be learned (no label outside the held-out fold), no language is predicted: all documents with a letter stay
+    and keep their own ``lang``, null or not.
+    """
+    judged = identify_languages(docs.select(*COLUMNS), mark="lettered").where("lettered")
+    # a prediction for a text with a letter has a score above 0, also if the label is named 'und'
+    return as_documents(judged.withColumn("lang", F.when(F.col("score") > 0, F.col("lang_pred")).otherwise(F.col("lang"))))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

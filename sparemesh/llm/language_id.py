@@ -262,7 +262,7 @@ class Pooling:
         return languages, scores
 
 
-def identify_languages(docs: DataFrame, **fit) -> DataFrame:
+def identify_languages(docs: DataFrame, mark: str | None = None, **fit) -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score`` (0 to 1) for every row.
 
     The network reads the bytes of each word in both directions, its state starting anew at each blank (and after 32 bytes
@@ -270,13 +270,15 @@ def identify_languages(docs: DataFrame, **fit) -> DataFrame:
     of its words with a letter, the whole text counting. ``und`` with score 0: null text, no letter, or nothing to learn from. Text alone is
     the input of a prediction. A language label that only occurs in the held-out fold is never predicted. A null id is
     outside that fold. Repeated rows get equal results; columns named like a result are replaced.
+    ``mark`` names one more column: whether the text has a letter, which ``und`` does not tell where nothing could be learned.
 
     The model (some 30 KB) is fitted on a bounded sample, see ``fit_languages``, and travels with the task; there is no shuffle of texts.
     """
     names = ("held_out", "lang_pred", "score")
-    docs = docs.drop(*names)
+    docs = docs.drop(*names, *([mark] if mark else []))
     model = fit_languages(docs.select("doc_id", "lang", "text"), **fit)
-    schema = docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+    schema = (schema.withColumn(mark, F.lit(False)) if mark else schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooling = Pooling(model) if model else None
@@ -284,6 +286,9 @@ def identify_languages(docs: DataFrame, **fit) -> DataFrame:
             for batch in byte_slices(whole, "text", 4 << 20):
                 texts = batch.column("text").to_pylist()
                 languages, scores = pooling.judge(texts) if pooling else (["und"] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                columns = [*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+                if mark:
+                    columns.append(pa.array([t is not None and lettered(t) for t in texts], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score", *([mark] if mark else [])])
 
     return docs.mapInArrow(run, schema).withColumn("held_out", is_held_out("doc_id"))

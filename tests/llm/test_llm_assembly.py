@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -217,5 +218,23 @@ def test_pipeline(spark):
     assert sum(r.length for r in kept[names[4]]) == sum(len(token_ids(BPE, r.text)) // 4 + 1 for r in kept[names[3]])
 
 
+def test_pipeline_without_labels(spark):
+    """With nothing to learn from, lettered documents pass the first stage with their own language."""
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    out_of_fit = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    rows = [(i, f"the thing no {i} ²", None, "s1", 1) for i in range(40)] + [(None, "日本語", None, None, None), (90, None, None, "s1", 1), (91, "", None, "s1", 1), (92, "123 ### _", None, "s1", 1)]
+    kept = pipeline.identify(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter([*range(40), None]) and {r.lang for r in kept} == {None}
+    assert out_of_fit
+    held = [(i, t, "en" if i in out_of_fit else None, s, n) for i, t, _, s, n in rows]
+    kept = pipeline.identify(spark, spark.createDataFrame(held, schema), "").collect()
+    assert {r.doc_id: r.lang for r in kept} == {i: "en" if i in out_of_fit else None for i in [*range(40), None]}
+    # a label named und is a label
+    named = pipeline.identify(spark, spark.createDataFrame([(i, t, "und", s, n) for i, t, _, s, n in rows], schema), "").collect()
+    assert len(named) == 41 and {r.lang for r in named} == {"und"}
+
+
 def stage_schema(name):
     return "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long" if name == "packing" else "doc_id long, text string, lang string, source string, n_chars long"
