@@ -105,9 +105,10 @@ class Words:
 
     ``hashes``: 64 bits a word; the words of row r are ``hashes[first[r]:first[r + 1]]``;
     ``starts`` and ``ends`` are their byte ranges in ``data``. A null text has no word.
+    ``blank`` marks the bytes that separate words.
     """
 
-    def __init__(self, column: pa.Array, fold: bool = False):
+    def __init__(self, column: pa.Array, fold: bool = False, blank: np.ndarray = SPACE):
         column = column.cast(pa.large_string())
         texts = pc.fill_null(column, "")
         _, offsets, data = texts.buffers()
@@ -116,7 +117,7 @@ class Words:
         self.offsets = offsets - offsets[0]
         self.data = FOLD[raw] if fold else raw
         inner = self.offsets[(self.offsets > 0) & (self.offsets < len(raw))]
-        solid = ~SPACE[raw]
+        solid = ~blank[raw]
         edge = solid.copy()
         edge[1:] &= ~solid[:-1]
         edge[inner] = solid[inner]
@@ -128,6 +129,21 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
         self.hashes = mix64(_sums(BYTE[self.data], BASE, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64))
 
+    def ids(self) -> np.ndarray:
+        """Of each word a number, equal for equal words only: words of one hash are compared byte by byte with the first of them."""
+        _, at, ids = np.unique(self.hashes, return_index=True, return_inverse=True)
+        first, size = self.starts[at][ids], self.ends - self.starts
+        same = size == (self.ends - self.starts)[at][ids]
+        size = np.where(same, size, 0)
+        word = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        same[word[self.data[self.starts[word] + step] != self.data[first[word] + step]]] = False
+        if not same.all():
+            raw, known = self.data.tobytes(), {}
+            for i in range(len(ids)):
+                ids[i] = known.setdefault(raw[self.starts[i] : self.ends[i]], len(known))
+        return ids
+
     def whole(self, row: int, which: int = 0) -> int:
         """Hash of all words of a row, with their number."""
         own = mix64(self.hashes[self.first[row] : self.first[row + 1]], which + 11)

@@ -1,4 +1,4 @@
-"""op1 to op10: each operator over its whole table, with the digest columns of its contract."""
+"""op1 to op13: each operator over its whole table, with the digest columns of its contract."""
 
 from __future__ import annotations
 
@@ -185,3 +185,99 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
     return jaccard_components(documents(spark, sf_dir), width=3, percent=90)
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+# crc32 bit by bit: a byte of the decimal id enters before the first of its eight steps.
+OP12_SQL = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+hashed AS (
+  SELECT doc_id, words, len(words) AS n,
+         xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+             lambda c, x: xor(xor(c, x) // 2, CASE WHEN xor(c, x) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) AS h
+  FROM split),
+placed AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM hashed WHERE h % 10 = 0 AND n > 0),
+looped AS (
+  SELECT doc_id, list_transform(range(0, n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS words FROM placed
+  UNION ALL SELECT doc_id, words FROM hashed WHERE h % 10 <> 0 OR n = 0),
+windows AS (SELECT doc_id, i, words[i + 1:i + 16] AS win FROM (SELECT doc_id, words, unnest(range(0, len(words) - 15)) AS i FROM looped WHERE len(words) >= 24)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.win = y.win AND y.i > x.i),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q AS period, min(i) AS start, max(i) - min(i) + 16 + q AS length FROM islands GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(period) AS period FROM stretches WHERE length >= greatest(24, 3 * period) GROUP BY doc_id, start, length),
+best AS (SELECT doc_id, start, length, period, row_number() OVER (PARTITION BY doc_id ORDER BY (length * 1000000000000) // period DESC, start, period) AS place FROM runs),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM looped) w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id)
+SELECT s.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+       (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM split s LEFT JOIN listed l ON s.doc_id = l.doc_id LEFT JOIN (SELECT * FROM best WHERE place = 1) b ON s.doc_id = b.doc_id LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) in which the texts of a tenth of the ids repeat a part of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("__words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    n, g = F.size("__words"), F.floor(h / 10)
+    docs = docs.withColumns({"__n": n, "__a": (g % n).cast("int"), "__k": (3 + g % 8).cast("int")})
+    period = F.expr("CAST(1 + (__n - __a) DIV __k AS INT)")
+    loop = F.flatten(F.array_repeat(F.slice("__words", F.col("__a") + 1, period), F.col("__k")))
+    text = F.array_join(F.slice(F.concat(F.slice("__words", F.lit(1), F.col("__a")), loop), F.lit(1), F.col("__n")), " ")
+    return docs.select("doc_id", F.when(F.col("__n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", OP12_SQL)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import collapse_runs
+
+    docs = collapse_runs(looped(documents(spark, sf_dir).select("doc_id", "text")), min_length=24, min_exponent=3)
+    # of runs with one exponent the list has the first start and period first
+    better = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = F.reduce("runs", F.get("runs", F.lit(0)), better)
+    docs = docs.withColumns({"best": best, "n_runs": F.size("runs").cast("long"), "lines": F.array_join(lines, "")})
+    return docs.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) DIV best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (SELECT lang, k, words[i:i + k - 1] AS gram FROM (SELECT lang, words, k, unnest(generate_series(1, len(words) - k + 1)) AS i FROM worded, generate_series(1, 5) AS g(k) WHERE len(words) >= k)),
+f AS (SELECT lang, k, gram, count(*) AS a FROM grams GROUP BY lang, k, gram HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, gram, a, unnest(generate_series(1, k - 1)) AS cut FROM f WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.gram, c.k, c.cut, c.a, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.gram = c.gram[1:c.cut] JOIN f y ON y.lang = c.lang AND y.gram = c.gram[c.cut + 1:] JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
+inside AS (SELECT DISTINCT lang, gram[i:i + m - 1] AS gram, a FROM (SELECT lang, gram, a, m, unnest(generate_series(1, k - m + 1)) AS i FROM f, generate_series(2, 4) AS g(m) WHERE m < k)),
+kept AS (SELECT b.*, array_to_string(b.gram, ' ') AS phrase FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside s WHERE s.lang = b.lang AND s.gram = b.gram AND 100 * s.a >= 100 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(documents(spark, sf_dir).select("doc_id", "lang", "text"), longest=5, min_count=100, absorb=100, top=2000)
