@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, Words, byte_slices, mix64, stored
+from .common import SPACE, WORD_BASE, Words, _powers, byte_slices, mix64, stored
 
 NO_ID = (1 << 63) - 1
 BREAK = np.zeros(256, dtype=bool)
@@ -26,8 +26,8 @@ BLOCK = 4096  # slots of the filter in one row
 class Grams:
     """The n-grams of a batch of texts, A-Z lower-cased, none across a break.
 
-    ``prints(n)`` gives the starting words and their fingerprints: differences of prefix polynomials over the words' hashes, which are
-    themselves polynomials over bytes, mixed with the row's language.
+    ``prints(n, at)`` gives the fingerprints of the n words from the places ``at`` on: differences of prefix polynomials over the words' hashes,
+    which are themselves polynomials over bytes, mixed with the row's language.
     """
 
     def __init__(self, batch: pa.RecordBatch, bits: int = 64):
@@ -35,33 +35,43 @@ class Grams:
         self.langs = batch.column("lang").to_pylist()
         salt = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs], dtype=np.uint64)
         self.rows = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
-        self.salt, self.bits = salt[self.rows], bits
-        broken = np.concatenate([[0], np.cumsum(BREAK[words.data])])
+        self.salt, self.bits = salt, bits
+        # the byte before a word, or the bytes since the last word, hold a break
+        broken = np.flatnonzero(BREAK[words.data])
         new = np.ones(len(words.starts), dtype=bool)
-        new[1:] = (self.rows[1:] != self.rows[:-1]) | (broken[words.starts[1:]] > broken[words.ends[:-1]])
-        self.piece = np.cumsum(new)
-
-    def starts(self, n: int) -> np.ndarray:
-        return np.flatnonzero(self.piece[n - 1 :] == self.piece[: len(self.piece) - n + 1]) if len(self.piece) >= n else np.zeros(0, np.int64)
-
-    def prints(self, n: int) -> np.ndarray:
-        """The fingerprint of the n words from each word on; only those at ``starts(n)`` are to be used."""
-        values = self.words.windows(n)
-        values = mix64(values ^ self.salt[: len(values)], 20 + n)
+        before = np.searchsorted(broken, words.starts)
+        new[1:] = (self.rows[1:] != self.rows[:-1]) | (before[1:] != before[:-1])
+        self.joined = ~new  # in one piece with the word before
+        n = len(words.hashes)
+        self.total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(mix64(words.hashes, 11) * _powers(WORD_BASE[0], n), out=self.total[1:])
+        self.inverse = _powers(pow(WORD_BASE[0], -1, 1 << 64), n + 1)
+
+    def longer(self, alive: np.ndarray, n: int) -> np.ndarray:
+        """Places whose n words lie in one piece, both n - 1 words of which are alive."""
+        return alive[:-1] & alive[1:] & self.joined[n - 1 :] if len(alive) else alive
+
+    def prints(self, n: int, at: np.ndarray) -> np.ndarray:
+        values = (self.total[at + n] - self.total[at]) * self.inverse[at]
+        values = mix64(values ^ self.salt[self.rows[at]], 20 + n)
         return values if self.bits == 64 else values >> np.uint64(64 - self.bits)
 
-
-def _passing(grams: Grams, n: int, open_slots: np.ndarray | None, known: set[int]) -> np.ndarray:
-    """The places whose n words may be frequent: every part of them of a length in ``known`` falls into an open slot."""
-    at = grams.starts(n)
-    for m in sorted(known):
-        if m > n or not len(at):
-            continue
-        slots = (grams.prints(m) & np.uint64(8 * len(open_slots) - 1)).astype(np.int64)
-        fine = (open_slots[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
-        for k in range(n - m + 1):
-            at = at[fine[at + k]]
-    return at
+    def passing(self, lengths: tuple[int, ...], open_slots: np.ndarray | None, known: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, places, fingerprints) of the n-grams that may be frequent: every part of them of a length in ``known`` falls into an open slot."""
+        alive = np.ones(len(self.words.hashes), dtype=bool)
+        for n in range(1, max(lengths) + 1):
+            alive = self.longer(alive, n) if n > 1 else alive
+            if n not in lengths and n not in known:
+                continue
+            at = np.flatnonzero(alive)
+            prints = self.prints(n, at)
+            if n in known:
+                slots = (prints & np.uint64(8 * len(open_slots) - 1)).astype(np.int64)
+                fine = (open_slots[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+                alive[at[~fine]] = False
+                at, prints = at[fine], prints[fine]
+            if n in lengths:
+                yield n, at, prints
 
 
 def _slot_counts(lengths: tuple[int, ...], slots: int, most: int, opened, known: set[int], bits: int):
@@ -73,9 +83,8 @@ def _slot_counts(lengths: tuple[int, ...], slots: int, most: int, opened, known:
         for whole in batches:
             for batch in byte_slices(whole, "text", BATCH):
                 grams = Grams(batch, bits)
-                for n in lengths:
-                    at = _passing(grams, n, before, known)
-                    found, times = np.unique(grams.prints(n)[at] & np.uint64(slots - 1), return_counts=True)
+                for _, _, prints in grams.passing(lengths, before, known):
+                    found, times = np.unique((prints & np.uint64(slots - 1)).astype(np.uint32), return_counts=True)
                     found = found.astype(np.int64)
                     table[found] = np.minimum(table[found] + np.minimum(times, most), most)
         blocks = table.reshape(-1, min(BLOCK, slots))
@@ -122,23 +131,26 @@ def _occurrences(longest: int, opened, bits: int):
             for batch in byte_slices(whole, "text", BATCH):
                 grams, (docs, sums) = Grams(batch, bits), (batch.column(c).to_numpy() for c in ("doc", "sum"))
                 ids, known, langs = grams.words.ids(), set(range(1, longest + 1)), np.array(grams.langs, dtype=object)
+                codes = np.unique(langs.astype(str), return_inverse=True)[1]
                 first = np.asarray(grams.words.first)
                 sizes: dict[str, int] = {}
                 for lang, size in zip(grams.langs, np.diff(first).tolist(), strict=True):
                     sizes[lang] = sizes.get(lang, 0) + size
                 zeros = [0] * len(sizes)
                 parts = [[pa.array(list(sizes), pa.string()), *(pa.array(v, pa.int64()) for v in (zeros, zeros, list(sizes.values()), zeros, zeros, zeros))]]
-                for n in sorted(known):
-                    at = _passing(grams, n, opened.value, known)
-                    found, one, group, times = np.unique(grams.prints(n)[at], return_index=True, return_inverse=True, return_counts=True)
-                    same = np.ones(len(at), dtype=bool)
+                for n, at, prints in grams.passing(tuple(sorted(known)), opened.value, known):
+                    order = np.argsort(prints)
+                    new = np.ones(len(order), dtype=bool)
+                    new[1:] = prints[order[1:]] != prints[order[:-1]]
+                    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+                    one, at = order[begin], at[order]
+                    first_at = at[begin][group]
+                    same = codes[grams.rows[at]] == codes[grams.rows[first_at]]
                     for k in range(n):
-                        same &= ids[at + k] == ids[at[one][group] + k]
-                    same &= langs[grams.rows[at]] == langs[grams.rows[at[one]]][group]
-                    if not same.all():
-                        times = np.bincount(group[same], minlength=len(found))
-                    places = np.concatenate([at[one], at[~same]])
-                    prints = np.concatenate([found, grams.prints(n)[at[~same]]]).view(np.int64)
+                        same &= ids[at + k] == ids[first_at + k]
+                    found, times = prints[one], np.bincount(group[same], minlength=len(one))
+                    places = np.concatenate([at[begin], at[~same]])
+                    prints = np.concatenate([found, prints[order[~same]]]).view(np.int64)
                     times = np.concatenate([times, np.ones(len(places) - len(times), dtype=times.dtype)])
                     row = grams.rows[places]
                     parts.append([pa.array(langs[row], pa.string()), *(pa.array(v, pa.int64()) for v in (np.full(len(row), n), prints, times, docs[row], sums[row], places - first[row]))])

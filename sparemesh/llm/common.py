@@ -116,6 +116,7 @@ class Words:
         raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
         self.data = FOLD[raw] if fold else raw
+        self.blank = blank
         inner = self.offsets[(self.offsets > 0) & (self.offsets < len(raw))]
         solid = ~blank[raw]
         edge = solid.copy()
@@ -131,14 +132,20 @@ class Words:
 
     def ids(self) -> np.ndarray:
         """Of each word a number, equal for equal words only: words of one hash are compared byte by byte with the first of them."""
-        _, at, ids = np.unique(self.hashes, return_index=True, return_inverse=True)
-        first, size = self.starts[at][ids], self.ends - self.starts
-        same = size == (self.ends - self.starts)[at][ids]
-        size = np.where(same, size, 0)
-        word = np.repeat(np.arange(len(size)), size)
-        step = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-        same[word[self.data[self.starts[word] + step] != self.data[first[word] + step]]] = False
-        if not same.all():
+        order = np.argsort(self.hashes)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = self.hashes[order[1:]] != self.hashes[order[:-1]]
+        ids = np.empty(len(order), dtype=np.int64)
+        ids[order] = np.cumsum(new) - 1
+        at = order[new]
+        size = self.ends - self.starts
+        same = bool((size == size[at][ids]).all())
+        if same:
+            # shift from each byte to its place in the first word of that hash
+            shift = np.repeat(self.starts[at][ids] - self.starts, size)
+            inside = np.flatnonzero(~self.blank[self.data])
+            same = bool((self.data[inside] == self.data[inside + shift]).all())
+        if not same:
             raw, known = self.data.tobytes(), {}
             for i in range(len(ids)):
                 ids[i] = known.setdefault(raw[self.starts[i] : self.ends[i]], len(known))
