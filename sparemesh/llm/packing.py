@@ -22,31 +22,34 @@ PIECES = "start long, length long, doc_tokens long, ids binary, sequence_id long
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@functools.lru_cache(maxsize=2)
-def encoders(path: str):
-    """(tokenizer, the same merges in the faster encoder) of a byte-level BPE file, one pair per worker.
+@functools.lru_cache(maxsize=4)
+def encoders(path: str, plain_controls: bool = False):
+    """(tokenizer, the same merges in the faster encoder, the control strings) of a byte-level BPE file, once per worker.
 
-    Control strings inside a text are ordinary text for both.
+    ``plain_controls``: control strings inside a text are ordinary text; else the tokenizer gives them their own ids.
     """
     from tiktoken import Encoding
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
+    loaded.encode_special_tokens = plain_controls
     # The vocabulary writes each byte as a printable character: printable Latin-1 as itself, the rest from 256 on, in order.
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
     special = {t.content for t in loaded.get_added_tokens_decoder().values()}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in loaded.get_vocab(with_added_tokens=False).items() if token not in special}
-    return loaded, Encoding("same", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return loaded, Encoding("same", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
-def token_ids(path: str, text: str) -> bytes:
-    """The ids of a text, little-endian, 32 bits each. Latin-1 texts take the fast encoder, others the tokenizer itself."""
-    slow, fast = encoders(path)
+def token_ids(path: str, text: str, plain_controls: bool = False) -> bytes:
+    """The ids of a text, little-endian, 32 bits each. Latin-1 texts without a control string take the fast encoder, others the tokenizer itself."""
+    slow, fast, controls = encoders(path, plain_controls)
     try:
         text.encode("latin-1")
+        simple = not any(c in text for c in controls)
     except UnicodeEncodeError:
+        simple = False
+    if not simple:
         return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     return np.asarray(fast.encode_ordinary(text), dtype="<u4").tobytes()
 
@@ -115,12 +118,12 @@ def cut_points(n: int, capacity: int, crumb: int) -> list[int]:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, crumb: int = 128, group_windows: int = 64, end_id: int = 0, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, crumb: int = 128, group_windows: int = 64, end_id: int = 0, text: str = "text", doc_id: str = "doc_id", plain_controls: bool = False
 ) -> DataFrame:
     """Pieces of all documents in windows of ``capacity`` tokens: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
     ``ids`` holds the piece's token ids (little-endian, 32 bits each). A document's tokens are its text's ids (null: none) and ``end_id``;
-    each token is in exactly one piece, pieces fill a sequence gapless from offset 0. A document's whole windows are
+    each token is in exactly one piece (a control string in a text has the tokenizer's own id, or with ``plain_controls`` is ordinary text), pieces fill a sequence gapless from offset 0. A document's whole windows are
     sequences of their own; what is left of it is cut into crumbs, and the crumbs of a group of documents are packed
     together. Repeated rows are packed each; a null id is kept. Other columns are not used. An empty table gives no pieces.
 
@@ -135,7 +138,7 @@ def pack_documents(
         end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for batch in byte_slices(whole, "text", 1 << 20):
-                ids = [token_ids(tokenizer_path, t or "") + end for t in batch.column("text").to_pylist()]
+                ids = [token_ids(tokenizer_path, t or "", plain_controls) + end for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(ids, pa.binary())], names=["doc_id", "place", "ids"])
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:

@@ -75,14 +75,21 @@ def test_differencing():
         assert ends[-1] == n and all(0 < b - a <= 1024 for a, b in zip([0, *ends], ends, strict=False))
 
 
-def test_token_ids_on_odd_texts():
+@pytest.mark.parametrize("plain", [False, True])
+def test_token_ids_on_odd_texts(plain):
     slow = Tokenizer.from_file(BPE)
-    slow.encode_special_tokens = True
+    if plain:
+        slow.encode_special_tokens = True
     rng = random.Random(3)
     letters = ["a", "é", "B", " ", "  ", "\n", "\t", "\xa0", "日", "1", "٣", "'s", "!", "<|endoftext|>", "\x1c", "\x85", "ß ", "the ", "\U0001f600", "ɐ"]
-    for _ in range(3000):
+    for _ in range(2000):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
-        assert np.frombuffer(token_ids(BPE, text), "<u4").tolist() == slow.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(token_ids(BPE, text, plain), "<u4").tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_control_strings_keep_their_ids():
+    assert np.frombuffer(token_ids(BPE, "a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    assert 50256 not in np.frombuffer(token_ids(BPE, "a <|endoftext|> b", True), "<u4")
 
 
 def test_packing_round_trip(spark):
@@ -91,7 +98,6 @@ def test_packing_round_trip(spark):
     rows = [(i, t, "x", 3) for i, t in enumerate(texts)] + [(None, "no id", "x", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, place int")
     slow = Tokenizer.from_file(BPE)
-    slow.encode_special_tokens = True
     got, sequences = defaultdict(list), defaultdict(list)
     for r in pack_documents(docs, BPE, group_windows=16).collect():
         got[r.doc_id].append(r)
