@@ -100,31 +100,43 @@ def _shard_arrays(keys: pd.DataFrame) -> pd.DataFrame:
 
 
 def line_counts(docs: DataFrame, min_chars: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(h1, h2, n, last): each distinct long line's 128-bit hash, in how many rows it occurs, and the largest id.
+    """(h1, h2, n, last): each distinct long line's 128-bit hash, in how many documents it occurs, and the largest id.
 
     Lines are made distinct per row and counted per batch in the task, then summed with map-side combine: a
-    line that is in a third of all documents arrives as a few rows.
+    line that is in a third of all documents arrives as a few rows. Only rows whose id occurs again take the longer way over
+    distinct (line, id) pairs. Rows without an id are documents of their own.
     """
+    rows = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).alias(text))
+    again = stored(rows.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").select(doc_id), "repeated-ids")
+    if again.isEmpty():
+        return _row_counts(rows, min_chars, text, doc_id)
+    single = _row_counts(rows.join(again, doc_id, "left_anti"), min_chars, text, doc_id)
+    shared = _row_counts(rows.join(again, doc_id, "left_semi").repartition(doc_id), min_chars, text, doc_id, [doc_id]).select("h1", "h2", F.lit(1).cast("long").alias("n"), "last")
+    return single.union(shared).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+def _row_counts(rows: DataFrame, min_chars: int, text: str, doc_id: str, by: list[str] | None = None) -> DataFrame:
+    """Lines counted by row; with ``by`` once for every id (``last`` is that id)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, text, 16 << 20):
-                seen: dict[str, list[int]] = {}
+                seen: dict[str | tuple, list[int]] = {}
                 for t, i in zip(batch.column(text).to_pylist(), batch.column(doc_id).to_pylist(), strict=True):
                     i = NO_ID if i is None else i
                     for key in {line_key(x) for x in (t or "").split("\n") if len(x) >= min_chars}:
                         if len(key) >= min_chars:
-                            entry = seen.setdefault(key, [0, i])
+                            entry = seen.setdefault((key, i) if by else key, [0, i])
                             entry[0] += 1
                             entry[1] = max(entry[1], i)
-                hashes = [key_hash(k) for k in seen]
+                hashes = [key_hash(k[0] if by else k) for k in seen]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in hashes], pa.int64()), pa.array([x[1] for x in hashes], pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())],
                     names=["h1", "h2", "n", "last"],
                 )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).alias(text)).mapInArrow(count, "h1 long, h2 long, n long, last long")
-    return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    found = rows.select(doc_id, text).mapInArrow(count, "h1 long, h2 long, n long, last long")
+    return found.groupBy("h1", "h2", *(["last"] if by else [])).agg(F.sum("n").alias("n"), *([] if by else [F.max("last").alias("last")]))
 
 
 def line_index(docs: DataFrame, min_chars: int, min_docs: int, shard_keys: int = 2000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -161,9 +173,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch_m
     """``docs`` with repeated lines removed from ``text``, plus ``n_lines`` (before) and ``n_dropped``.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least ``min_chars`` code points
-    found in at least ``min_docs`` rows lose all their lines except in the row(s) with the largest id that hold it.
+    found in at least ``min_docs`` documents (ids) lose all their lines except in the row(s) with the largest id that hold it.
     Null and empty texts are one empty line and stay as they are; a null id counts as smaller than any other;
-    a repeated row counts as one more document. Other columns pass through; an input ``n_lines`` or
+    rows of one id are one document, rows without an id each one of their own. Other columns pass through; an input ``n_lines`` or
     ``n_dropped`` is replaced.
 
     The index is broadcast in batches of whole shards of at most ``batch_mb`` MB (28 bytes a line, lines below
@@ -215,10 +227,27 @@ def _probed(rows: DataFrame, probe, of: int, min_chars: int, min_docs: int, text
 
 
 def _rewritten(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("__drop", i))
-    return rows.select(
-        *[F.when(F.size("__drop") > 0, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in keep],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size("__drop").cast("long").alias("n_dropped"),
-    )
+    """The lines that are not listed in ``__drop``, joined again; a text that loses none stays as it is."""
+    slim = rows.select(F.struct(*[F.col(c) for c in keep if c != text], F.lit(0).alias("__pad")).alias("__rest"), F.col(text).alias("text"), "__drop")
+    schema = slim.select("__rest", "text").withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in byte_slices(whole, "text", 16 << 20):
+                texts, drops, sizes = batch.column("text").to_pylist(), batch.column("__drop"), []
+                for r, t in enumerate(texts):
+                    drop = drops[r].values.to_numpy(zero_copy_only=False)
+                    if not len(drop):
+                        sizes.append((t or "").count("\n") + 1)
+                        continue
+                    lines = t.split("\n")
+                    gone = bytearray(len(lines))
+                    for k in drop.tolist():
+                        gone[k] = 1
+                    sizes.append(len(lines))
+                    texts[r] = "\n".join([x for x, g in zip(lines, gone, strict=True) if not g])
+                dropped = pa.array(np.diff(drops.offsets.to_numpy()), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("__rest"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), dropped], names=["__rest", "text", "n_lines", "n_dropped"])
+
+    done = slim.mapInArrow(run, schema)
+    return done.select(*[F.col("text").alias(c) if c == text else F.col(f"__rest.`{c}`") for c in keep], "n_lines", "n_dropped")

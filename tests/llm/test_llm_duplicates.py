@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -75,16 +76,18 @@ def test_perfect_hash_is_minimal():
 @pytest.mark.parametrize("batch_mb", [64, 0])
 def test_line_dedup(spark, batch_mb):
     rows = edge_rows()
-    holders = defaultdict(list)
+    rows += [(2000 + k // 3, f"a long line that three rows of one document repeat, number {k % 3 % 2}\n own {k}") for k in range(12)]
+    holders, documents = defaultdict(list), defaultdict(set)
     low = -1 << 63
-    for i, t in rows:
+    for n, (i, t) in enumerate(rows):
         for key in {line_key(x) for x in (t or "").split("\n")}:
             if len(key) >= 40:
                 holders[key].append(low if i is None else i)
+                documents[key].add(("row", n) if i is None else i)
     expected = Counter()
     for i, t in rows:
         lines = (t or "").split("\n")
-        drop = [len(k := line_key(x)) >= 40 and len(holders[k]) >= 5 and max(holders[k]) != (low if i is None else i) for x in lines]
+        drop = [len(k := line_key(x)) >= 40 and len(documents[k]) >= 5 and max(holders[k]) != (low if i is None else i) for x in lines]
         text = "\n".join(x for x, d in zip(lines, drop, strict=True) if not d) if any(drop) else t
         expected[i, text, len(lines), sum(drop)] += 1
     import sparemesh.llm.line_dedup as module
@@ -107,6 +110,17 @@ def test_line_dedup_in_several_batches(spark, monkeypatch):
     assert sorted(one) == sorted(several)
 
 
+def test_one_text_of_many_lines(spark):
+    """200,000 lines, half of them dropped, in time linear in the lines."""
+    shared = [f"line number {k} that is shared by five of the documents" for k in range(20)]
+    long = "\n".join(shared[k % 20] if k % 2 else f"own {k}" for k in range(200_000))
+    rows = [(0, long)] + [(i, "\n".join(shared)) for i in range(1, 6)]
+    begin = time.perf_counter()
+    found = {r.doc_id: r for r in dedup_lines(frame(spark, rows)).collect()}
+    assert time.perf_counter() - begin < 60
+    assert found[0].n_dropped == 100_000 and found[0].text == "\n".join(f"own {k}" for k in range(0, 200_000, 2)) and found[5].n_dropped == 0
+
+
 def test_signatures_meet():
     """Any two sets at the threshold share a signature, whatever their size."""
     rng = np.random.default_rng(3)
