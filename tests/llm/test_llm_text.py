@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparemesh.llm.language_id import ByteGru, identify_languages, training_draws
+from sparemesh.llm.language_id import ByteGru, Pooling, identify_languages, training_draws
 from sparemesh.llm.quality_ratio import quality_filter, text_statistics
 from sparemesh.llm.url_filter import GlobAutomaton, filter_urls
 
@@ -113,12 +113,23 @@ def test_ratio_is_the_plain_formula(spark):
     pairs = sorted({(h[a], h[b]) for _, t in words for a, b in zip(t, t[1:], strict=False)})
     h2 = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
     grams = {i: [h[w] % 64 for w in t] + [h2[h[a], h[b]] % 64 for a, b in zip(t, t[1:], strict=False)] for i, t in words}
-    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for i in (1, 2) for g in grams[i])
+    # the trusted rows of one hash parity are fitted, the others set the threshold
+    trusted = spark.createDataFrame([(1,), (2,)], "i long").select("i", F.pmod(F.xxhash64("i", F.lit(12)), F.lit(2)).alias("half")).collect()
+    assert {r.half for r in trusted} == {0, 1}
+    fitted = [r.i for r in trusted if r.half == 0]
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for i in fitted for g in grams[i])
     weight = lambda g: np.log((target[g] + 1) / (target.total() + 64)) - np.log((raw[g] + 1) / (raw.total() + 64))
+    plain = {i: sum(map(weight, x)) / len(x) for i, x in grams.items()}
     for i, x in grams.items():
         assert found[i] == pytest.approx(sum(map(weight, x)) / len(x), abs=1e-6)
 
 
+    # one row sets the threshold, so it deviates from itself by nothing
+    least = next(plain[r.i] for r in trusted if r.half == 1)
+    for r in quality_filter(docs, labels, buckets=64, max_repeat_percent=100).collect():
+        assert r.kept == (plain[r.doc_id] >= least - 1e-9), r.doc_id
+
+
 def test_no_trusted_documents_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c " * 30), (2, " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -154,6 +165,38 @@ def test_gradients_agree_with_differences():
         assert found[name][at] == pytest.approx((up - down) / (2 * step), rel=0.02, abs=2e-4)
 
 
+def test_forward_pass_and_pooling():
+    """Each byte's label and a document's mean by plain loops over one byte at a time."""
+    model = ByteGru(["a", "b", "c"], hidden=4)
+    model.start(3)
+    w, h = model.weights, 4
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(raw, d):
+        s, out = np.zeros(h), {}
+        for t in range(len(raw)) if d == "f" else reversed(range(len(raw))):
+            x, u = w["x" + d][raw[t]], w["u" + d]
+            z, r = sigmoid(x[:h] + s @ u[:, :h]), sigmoid(x[h : 2 * h] + s @ u[:, h : 2 * h])
+            s = (1 - z) * s + z * np.tanh(x[2 * h :] + (r * s) @ u[:, 2 * h :])
+            out[t] = s
+        return out
+
+    texts = ["the der schön 123 ###", "x", "straße of mañana " + "long" * 20]
+    for text, lang, score in zip(texts, *Pooling(model).judge(texts), strict=True):
+        labels = []
+        for word in text.split(" "):
+            if not re.search(r"[^\W\d_]", word):
+                continue
+            raw = word.encode()
+            for piece in (raw[i : i + 32] for i in range(0, len(raw), 32)):
+                f, b = states(piece, "f"), states(piece, "b")
+                for t in range(len(piece)):
+                    z = np.concatenate([f[t], b[t]]) @ w["o"] + w["c"]
+                    labels.append(np.exp(z) / np.exp(z).sum())
+        p = np.mean(labels, axis=0)
+        assert lang == model.languages[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-5)
+
+
 def test_language_edges(spark):
     rows = [(i, ("the thing of " if i % 2 else "der und schön ") * 8, "en" if i % 2 else "de", "old") for i in range(200)]
     rows += [(900, None, "en", "x"), (901, "", None, "x"), (902, "123 ### !", "en", "x"), (903, "the", None, None), (None, "und der", "de", None), (904, "thing" * 4000, None, "x"), rows[5]]
