@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, WORD_BASE, Words, _powers, byte_slices, mix64, stored
+from .common import SPACE, WORD_BASE, Words, _powers, _sums, byte_slices, mix64, stored
 
 NO_ID = (1 << 63) - 1
 BREAK = np.zeros(256, dtype=bool)
@@ -19,6 +20,7 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 APART = BREAK | SPACE
 KEY = ["lang", "n", "print"]
 PLACE = ["lang", "doc", "sum"]
+PHRASES = "lang string, n long, a long, phrase string"
 BATCH = 4 << 20  # bytes of text whose n-grams are counted together
 BLOCK = 4096  # slots of the filter in one row
 
@@ -56,6 +58,19 @@ class Grams:
         values = mix64(values ^ self.salt[self.rows[at]], 20 + n)
         return values if self.bits == 64 else values >> np.uint64(64 - self.bits)
 
+    def grouped(self, n: int, at: np.ndarray, prints: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences ordered by fingerprint, the first of each, the group of each, and whether it has the words and language of that first one."""
+        order = np.argsort(prints, kind="stable")
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = prints[order[1:]] != prints[order[:-1]]
+        begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+        at = at[order]
+        first = at[begin][group]
+        same = codes[self.rows[at]] == codes[self.rows[first]]
+        for k in range(n):
+            same &= ids[at + k] == ids[first + k]
+        return order, begin, group, same
+
     def passing(self, lengths: tuple[int, ...], open_slots: np.ndarray | None, known: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(n, places, fingerprints) of the n-grams that may be frequent: every part of them of a length in ``known`` falls into an open slot."""
         alive = np.ones(len(self.words.hashes), dtype=bool)
@@ -121,9 +136,10 @@ def _open_slots(docs: DataFrame, lengths: tuple[int, ...], slots: int, most: int
 
 
 def _occurrences(longest: int, opened, bits: int):
-    """(lang, n, print, times, doc, sum, place): of each batch how often a fingerprint occurs and where it does first.
+    """(lang, n, print, check, times, doc, sum, place): of each batch how often a fingerprint occurs and where it does first.
 
-    Each occurrence is held against the words at that first place; one that has other words is listed by itself. Length 0 counts all words.
+    Each occurrence is held against the words at that first place; one that has other words gets a row of its own, with another ``check`` (a
+    second polynomial of the same words). Length 0 counts all words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,43 +152,81 @@ def _occurrences(longest: int, opened, bits: int):
                 sizes: dict[str, int] = {}
                 for lang, size in zip(grams.langs, np.diff(first).tolist(), strict=True):
                     sizes[lang] = sizes.get(lang, 0) + size
-                zeros = [0] * len(sizes)
-                parts = [[pa.array(list(sizes), pa.string()), *(pa.array(v, pa.int64()) for v in (zeros, zeros, list(sizes.values()), zeros, zeros, zeros))]]
+                none = [0] * len(sizes)
+                parts = [[pa.array(list(sizes), pa.string()), *(pa.array(v, pa.int64()) for v in (none, none, none, list(sizes.values()), none, none, none))]]
                 for n, at, prints in grams.passing(tuple(sorted(known)), opened.value, known):
-                    order = np.argsort(prints)
-                    new = np.ones(len(order), dtype=bool)
-                    new[1:] = prints[order[1:]] != prints[order[:-1]]
-                    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-                    one, at = order[begin], at[order]
-                    first_at = at[begin][group]
-                    same = codes[grams.rows[at]] == codes[grams.rows[first_at]]
-                    for k in range(n):
-                        same &= ids[at + k] == ids[first_at + k]
-                    found, times = prints[one], np.bincount(group[same], minlength=len(one))
-                    places = np.concatenate([at[begin], at[~same]])
-                    prints = np.concatenate([found, prints[order[~same]]]).view(np.int64)
-                    times = np.concatenate([times, np.ones(len(places) - len(times), dtype=times.dtype)])
+                    order, begin, group, same = grams.grouped(n, at, prints, ids, codes)
+                    at, prints = at[order], prints[order]
+                    times = np.bincount(group[same], minlength=len(begin))
+                    rows = np.concatenate([begin, np.flatnonzero(~same)])
+                    places, prints = at[rows], prints[rows]
+                    check = _sums(mix64(grams.words.hashes, 12), WORD_BASE[1], places, places + n)
+                    odd = slice(len(begin), None)
+                    check[odd] += (check[odd] == check[: len(begin)][group[rows[odd]]]).astype(np.uint64)
+                    times = np.concatenate([times, np.ones(len(rows) - len(begin), dtype=times.dtype)])
                     row = grams.rows[places]
-                    parts.append([pa.array(langs[row], pa.string()), *(pa.array(v, pa.int64()) for v in (np.full(len(row), n), prints, times, docs[row], sums[row], places - first[row]))])
+                    parts.append([pa.array(langs[row], pa.string()), *(pa.array(v, pa.int64()) for v in (np.full(len(row), n), prints.view(np.int64), check.view(np.int64), times, docs[row], sums[row], places - first[row]))])
                 for part in parts:
-                    yield pa.RecordBatch.from_arrays(part, names=[*KEY, "times", "doc", "sum", "place"])
+                    yield pa.RecordBatch.from_arrays(part, names=[*KEY, "check", "times", "doc", "sum", "place"])
 
     return run
 
 
+def _joined_words(words: Words, places: list[int], n: list[int]) -> pa.Array:
+    raw, starts, ends = words.data.tobytes(), words.starts.tolist(), words.ends.tolist()
+    return pa.array([b" ".join([raw[starts[i] : ends[i]] for i in range(p, p + k)]) for p, k in zip(places, n, strict=True)], pa.binary()).cast(pa.string())
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each listed place of a text."""
+    """The words at each listed place of a text."""
     for whole in batches:
         for batch in byte_slices(whole, "text"):
             words = Words(batch.column("text"), fold=True, blank=APART)
-            raw, starts, ends = words.data.tobytes(), words.starts.tolist(), words.ends.tolist()
             for r, lang in enumerate(batch.column("lang").to_pylist()):
-                places = batch.column("places")[r].values
-                n, place = (places.field(c).to_pylist() for c in ("n", "place"))
-                begin = int(words.first[r])
-                found = [b" ".join([raw[starts[i] : ends[i]] for i in range(begin + p, begin + p + k)]) for k, p in zip(n, place, strict=True)]
-                own = [pa.array([x] * len(n), kind) for x, kind in ((lang, pa.string()), (batch.column("doc")[r].as_py(), pa.int64()), (batch.column("sum")[r].as_py(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*own, *(places.field(c) for c in ("n", "print", "place", "times")), pa.array(found, pa.binary()).cast(pa.string())], names=[*PLACE, "n", "print", "place", "times", "phrase"])
+                listed = batch.column("places")[r].values
+                n, place, begin = listed.field("n"), listed.field("place").to_pylist(), int(words.first[r])
+                phrases = _joined_words(words, [begin + p for p in place], n.to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), n, listed.field("a"), phrases], names=["lang", "n", "a", "phrase"])
+
+
+def _recounted(longest: int, opened, shared, bits: int):
+    """(lang, n, phrase, a): occurrences of the n-grams whose fingerprints are listed in ``shared``, by their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = np.frombuffer(shared.value, dtype=np.uint8)
+        for whole in batches:
+            for batch in byte_slices(whole, "text", BATCH):
+                grams, known = Grams(batch, bits), set(range(1, longest + 1))
+                for n, at, prints in grams.passing(tuple(sorted(known)), opened.value, known):
+                    slots = (mix64(prints, n) & np.uint64(8 * len(listed) - 1)).astype(np.int64)
+                    at = at[(listed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0]
+                    phrases = _joined_words(grams.words, at.tolist(), [n] * len(at))
+                    found = Counter(zip([grams.langs[r] for r in grams.rows[at].tolist()], phrases.to_pylist(), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([n] * len(found), pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array([k[1] for k in found], pa.string())], names=["lang", "n", "a", "phrase"])
+
+    return run
+
+
+def _marked(keys: DataFrame, bits: int = 1 << 24) -> bytes:
+    """A table of ``bits`` bits with those of the keys' 64-bit column ``h`` set, whatever their number."""
+    rows = keys.select(F.pmod("h", F.lit(bits)).cast("int").alias("bit")).groupBy(F.floor(F.col("bit") / 4096).alias("block")).agg(F.collect_set(F.col("bit") % 4096).alias("set"))
+    table = np.zeros(bits, dtype=bool)
+    for r in rows.toLocalIterator():
+        table[r.block * 4096 + np.array(r["set"])] = True
+    return np.packbits(table, bitorder="little").tobytes()
+
+
+def _holding(marks) -> object:
+    """Only the texts whose hash is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(marks.value, dtype=np.uint8)
+        for batch in batches:
+            slots = batch.column("sum").to_numpy().view(np.uint64) & np.uint64(8 * len(table) - 1)
+            slots = slots.astype(np.int64)
+            yield batch.filter(pa.array((table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0))
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", slots: int = 1 << 24, bits: int = 64) -> DataFrame:
@@ -181,10 +235,12 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, text:
     First all n-grams of all texts are counted by slot (fingerprint modulo ``slots``), one and two words long, then those longer
     ones whose parts are in open slots. A slot below ``min_count`` cannot hold a frequent n-gram, whatever shares it, so
     closed slots lose nothing; they only keep most rare n-grams out of the shuffle. The table is ``slots`` / 8 bytes
-    (2 MB) at any size of the input. Then the fingerprints left are counted in one shuffle, with a pointer (text, word
-    number) per batch; the pointers of frequent ones are joined to their texts, and the words read there are counted. So two phrases
-    of one fingerprint count apart: within a batch each occurrence is compared with the words at the pointer, across batches the words
-    themselves are the key.
+    (2 MB) at any size of the input.
+
+    Then the fingerprints left are counted in one shuffle, each with one pointer (text, word number). Occurrences are held against the
+    words at their batch's pointer, batches against each other by a second, independent 64-bit polynomial. Fingerprints found with different words
+    are counted again by their words, in a pass that runs only if there are any. The pointers of the frequent ones are
+    joined to their texts, and only those phrases are read. Tables of marks (2 MB) keep the other texts out of that join.
     """
     if min_count < 1 or longest < 1 or slots & (slots - 1) or slots < 8:
         raise ValueError("min_count and longest must be positive, slots a power of two from 8 on")
@@ -201,16 +257,35 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, text:
             known |= set(lengths)
     opened = spark.sparkContext.broadcast(table)
     placed = rows.select("lang", "doc", F.xxhash64("text").alias("sum"), "text")
-    schema = "lang string, n long, print long, times long, doc long, sum long, place long"
-    found = stored(placed.mapInArrow(_occurrences(longest, opened, bits), schema), "prints")
-    sizes = found.where("n = 0").groupBy("lang").agg(F.sum("times").alias("a")).select("lang", F.lit(0).cast("long").alias("n"), F.lit("").alias("phrase"), "a")
-    often = found.where("n > 0").groupBy(*KEY).agg(F.sum("times").alias("all")).where(F.col("all") >= min_count).select(*KEY)
-    single = found.where("n > 0").join(often, KEY).groupBy(*KEY, "doc", "sum", "place").agg(F.sum("times").alias("times"))
-    listed = single.groupBy(*PLACE).agg(F.collect_list(F.struct("n", "print", "place", "times")).alias("places"))
-    texts = placed.join(listed, PLACE)
-    read = texts.mapInArrow(_read_back, "lang string, doc long, sum long, n long, print long, place long, times long, phrase string")
-    counted = read.dropDuplicates([*PLACE, "n", "print", "place"]).groupBy("lang", "n", "phrase").agg(F.sum("times").alias("a")).where(F.col("a") >= min_count)
-    return stored(counted.union(sizes), "phrases")
+    schema = "lang string, n long, print long, check long, times long, doc long, sum long, place long"
+    found = placed.mapInArrow(_occurrences(longest, opened, bits), schema)
+    # pointers to small ids first, so that few texts hold them; the three columns follow one comparison and so stay together
+    pointer = [F.min_by(c, "doc").alias(c) for c in ("doc", "sum", "place")]
+    totals = found.groupBy(*KEY).agg(F.sum("times").alias("a"), (F.min("check") != F.max("check")).alias("shared"), *pointer)
+    often = stored(totals.where((F.col("a") >= min_count) | (F.col("n") == 0)), "prints")
+    sizes = often.where("n = 0").select("lang", "n", "a", F.lit("").alias("phrase"))
+    single, shared = often.where("n > 0 AND NOT shared"), often.where("n > 0 AND shared")
+    marks = spark.sparkContext.broadcast(_marked(single.select(F.col("sum").alias("h"))))
+    listed = single.groupBy(*PLACE).agg(F.collect_list(F.struct("n", "place", "a")).alias("places"))
+    # texts of one id, language and hash are one text
+    texts = placed.mapInArrow(_holding(marks), placed.schema).join(listed, PLACE)
+    phrases = texts.mapInArrow(_read_back, PHRASES).dropDuplicates(["lang", "n", "phrase"])
+    if not shared.isEmpty():
+        mixed = shared.select("n", "print").distinct().mapInArrow(_print_slots, "h long")
+        counted = slim.mapInArrow(_recounted(longest, opened, spark.sparkContext.broadcast(_marked(mixed)), bits), PHRASES)
+        counted = counted.groupBy("lang", "n", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count).select("lang", "n", "a", "phrase")
+        # the marks may let in others, whose full counts are then equal in both
+        phrases = phrases.unionByName(counted).distinct()
+    return stored(phrases.unionByName(sizes), "phrases").select("lang", "n", "phrase", "a")
+
+
+def _print_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, prints = (batch.column(c).to_numpy() for c in ("n", "print"))
+        out = prints.view(np.uint64).copy()
+        for k in np.unique(n):
+            out[n == k] = mix64(out[n == k], int(k))
+        yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["h"])
 
 
 def collocations(docs: DataFrame, longest: int = 5, min_count: int = 100, absorb: int = 100, top: int = 2000, **columns) -> DataFrame:
