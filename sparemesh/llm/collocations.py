@@ -135,25 +135,68 @@ def _open_slots(docs: DataFrame, lengths: tuple[int, ...], slots: int, most: int
     return table
 
 
+class Tally:
+    """What a task has found so far: per language, length and fingerprints the number of occurrences and the place in the smallest id.
+
+    Rows of equal fingerprints are added up whenever ``most`` have gathered; they go on when the task ends or too many differ.
+    """
+
+    def __init__(self, most: int = 2_000_000):
+        self.most, self.langs, self.parts, self.size = most, {}, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        """lang number, n, print, check, times, doc, sum, place"""
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def full(self) -> bool:
+        if self.size > self.most:
+            self.merge()
+        return self.size > self.most // 2
+
+    def merge(self) -> None:
+        if not self.parts:
+            return
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        lang, n, prints, check, times, doc, *_ = columns
+        order = np.lexsort((doc, n, lang, check, prints))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = False
+        for x in (prints, check, lang, n):
+            x = x[order]
+            new[1:] |= x[1:] != x[:-1]
+        begin = np.flatnonzero(new)
+        kept = [x[order[begin]] for x in columns]
+        kept[4] = np.add.reduceat(times[order], begin) if len(begin) else times
+        self.parts, self.size = [tuple(kept)], len(begin)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        names = np.array(list(self.langs), dtype=object)
+        for lang, *rest in self.parts:
+            for at in range(0, len(lang), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(names[lang[part]], pa.string()), *(pa.array(x[part], pa.int64()) for x in rest)], names=[*KEY, "check", "times", "doc", "sum", "place"])
+        self.parts, self.size = [], 0
+
+
 def _occurrences(longest: int, opened, bits: int):
-    """(lang, n, print, check, times, doc, sum, place): of each batch how often a fingerprint occurs and where it does first.
+    """(lang, n, print, check, times, doc, sum, place): how often a task meets a fingerprint and where.
 
-    Each occurrence is held against the words at that first place; one that has other words gets a row of its own, with another ``check`` (a
-    second polynomial of the same words). Length 0 counts all words.
+    Each occurrence is held against the words at the first one of its batch; one that has other words gets a row of its own, with another
+    ``check`` (a second polynomial of the same words). Length 0 counts all words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
         for whole in batches:
             for batch in byte_slices(whole, "text", BATCH):
                 grams, (docs, sums) = Grams(batch, bits), (batch.column(c).to_numpy() for c in ("doc", "sum"))
-                ids, known, langs = grams.words.ids(), set(range(1, longest + 1)), np.array(grams.langs, dtype=object)
-                codes = np.unique(langs.astype(str), return_inverse=True)[1]
+                ids, known = grams.words.ids(), set(range(1, longest + 1))
+                codes = np.array([tally.langs.setdefault(x, len(tally.langs)) for x in grams.langs], dtype=np.int64)
                 first = np.asarray(grams.words.first)
-                sizes: dict[str, int] = {}
-                for lang, size in zip(grams.langs, np.diff(first).tolist(), strict=True):
-                    sizes[lang] = sizes.get(lang, 0) + size
-                none = [0] * len(sizes)
-                parts = [[pa.array(list(sizes), pa.string()), *(pa.array(v, pa.int64()) for v in (none, none, none, list(sizes.values()), none, none, none))]]
+                none = np.zeros(len(codes), dtype=np.int64)
+                tally.add(codes, none, none, none, np.diff(first), none, none, none)
                 for n, at, prints in grams.passing(tuple(sorted(known)), opened.value, known):
                     order, begin, group, same = grams.grouped(n, at, prints, ids, codes)
                     at, prints = at[order], prints[order]
@@ -165,9 +208,10 @@ def _occurrences(longest: int, opened, bits: int):
                     check[odd] += (check[odd] == check[: len(begin)][group[rows[odd]]]).astype(np.uint64)
                     times = np.concatenate([times, np.ones(len(rows) - len(begin), dtype=times.dtype)])
                     row = grams.rows[places]
-                    parts.append([pa.array(langs[row], pa.string()), *(pa.array(v, pa.int64()) for v in (np.full(len(row), n), prints.view(np.int64), check.view(np.int64), times, docs[row], sums[row], places - first[row]))])
-                for part in parts:
-                    yield pa.RecordBatch.from_arrays(part, names=[*KEY, "check", "times", "doc", "sum", "place"])
+                    tally.add(codes[row], np.full(len(row), n), prints.view(np.int64), check.view(np.int64), times, docs[row], sums[row], places - first[row])
+                if tally.full():
+                    yield from tally.rows()
+        yield from tally.rows()
 
     return run
 
