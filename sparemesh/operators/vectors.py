@@ -104,16 +104,24 @@ def merge_domains(hits: DataFrame, query_id: str = "query_id", item_id: str = "i
 
 
 def search(
-    queries: DataFrame, corpus: DataFrame, top_k: int = 10, rerank: bool = True, compat_unsorted: bool = False, **options
+    queries: DataFrame, corpus: DataFrame, top_k: int = 10, rerank: bool = True, compat_unsorted: bool = False, families: bool = False, **options
 ) -> DataFrame:
     """Search with fusion, cut, safety, ranking score and tier.
 
+    ``families`` looks up the items of all types that may serve the requested one, through inverted lists (see ``vector_lists``);
+    without it both tables name the block to search in.
+
     With ``rerank`` five times ``top_k`` hits per domain are fetched. Without it the score is the fused
     cosine; ``compat_unsorted`` then keeps all fused hits instead of the best ``top_k``. Both tables
     may carry item_type, size_nb_mm, pressure_class, metallurgy, facing_end and standard.
     """
     query_id, item_id = options.get("query_id", "query_id"), options.get("item_id", "item_id")
-    hits = top_by_domain(queries, corpus, top_k * 5 if rerank else top_k, **options)
+    if families:
+        from .vector_lists import search_lists
+
+        hits = search_lists(queries, corpus, top_k * 5 if rerank else top_k, **options)
+    else:
+        hits = top_by_domain(queries, corpus, top_k * 5 if rerank else top_k, **options)
     # the window above ends here, so this cut is not repeated in it
     merged = merge_domains(hits, query_id, item_id).filter(F.col("cosine") >= CUT)
     names = ("item_type", "size_nb_mm", "pressure_class", "metallurgy", "facing_end", "standard")

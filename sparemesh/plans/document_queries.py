@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chemistry
-from ..functions.attributes import DOMAINS, domain_texts, normalize_pressure, normalize_size, with_attributes, with_dialect
+from ..functions.attributes import DOMAINS, FIELD_PATTERNS, domain_texts, field_of, normalize_pressure, normalize_size, with_attributes, with_dialect
 from ..functions.safety import metal_rank
 from ..functions.text import clean_lines, normalize_text
-from ..operators import catalog, certificates, documents, training
+from ..operators import catalog, certificates, documents, matching, training
 from . import oracle_views as O
 from . import views as V
 from .registry import query
@@ -55,6 +55,41 @@ def attributes(spark, sf_dir):
     return with_attributes(text, "description", fields=fields).select(K, *fields)
 
 
+@query(
+    "x8_extended_fields",
+    O.sql(
+        "",
+        f"""SELECT {K}, 'IS ' || ({K} % 9000 + 1000) AS indian_standard, 'OISD-STD-' || ({K} % 300 + 100) AS oisd_standard, 'EIL SPEC 6-44-' || {K} AS eil_specification, 'CAT-' || {K} AS gem_category,
+              'GB-' || {K} AS gem_bid_number, 'CT-' || {K} AS cppp_tender_id, '76.10.' || {K} AS mesc_code, 'WORKS ' || ({K} % 9) AS manufacturer, {O.pick(K, ("FORGED", "CAST", "SEAMLESS"))} AS product_form,
+              {O.pick(K, ("FBE", "3LPE", "EPOXY"))} AS coating, 'IC-' || ({K} % 4) AS inspection_class, 'DOC-' || {K} AS document_number, 'UNIT ' || ({K} % 12) AS project, {O.pick(K, ("FLANGED", "THREADED"))} AS end_connection,
+              'PO-' || {K} AS purchase_order, 'CRT-' || {K} AS certificate_number, 'GB-' || {K} AS bid_number, 'AGENCY ' || {O.pick(K, ("NORTH", "SOUTH"))} AS inspection_agency FROM part""",
+    ),
+)
+def extended_fields(spark, sf_dir):
+    """All eighteen fields of descriptions that carry them."""
+    return V.procurement_text(spark, sf_dir).select(K, *[field_of(F.upper("description"), name).alias(name) for name in FIELD_PATTERNS])
+
+
+@query(
+    "p1_parsed_requests",
+    O.sql(
+        "",
+        f"""SELECT {K}, CASE WHEN {K} % 5 = 0 THEN 'PIPE' WHEN {K} % 6 = 0 THEN 'FLANGE' WHEN {K} % 6 = 2 THEN 'VALVE' ELSE {O.pick(K, TYPES)} END AS item_type, CASE WHEN {K} % 3 = 0 THEN 77.0 ELSE (p_size * 10)::DOUBLE END AS size_nb_mm,
+              {O.pick(K, V.CLASSES)} AS pressure_class, {METAL} AS metallurgy, 'IS ' || {IS_NO} AS indian_standard, CASE WHEN {K} % 4 = 0 THEN 'true' END AS sour_service,
+              CASE {K} % 3 WHEN 0 THEN '0.4' WHEN 1 THEN '0.43' END AS ce_max, CASE {K} % 3 WHEN 2 THEN 'false' ELSE 'true' END AS weldability FROM part""",
+    ),
+)
+def parsed_requests(spark, sf_dir):
+    """Requests in words: a given value wins, the rest is read from the text, flags become properties."""
+    k = F.col(K)
+    asked = V.catalog_text(spark, sf_dir).select(
+        K, F.col("description").alias("query_text"), F.when(F.pmod(k, F.lit(5)) == 0, "PIPE").otherwise(F.when(F.pmod(k, F.lit(5)) == 1, "")).alias("item_type"),
+        F.when(F.pmod(k, F.lit(3)) == 0, 77.0).otherwise(F.lit(0.0)).alias("size_nb_mm"), (F.pmod(k, F.lit(4)) == 0).alias("sour_service"), V.pick(k, ("HIGH_WELDABILITY", "STANDARD", "NON_WELDABLE")).alias("weldability_class"),
+    )
+    out = matching.parse_requests(asked)
+    return out.select(K, "item_type", "size_nb_mm", "pressure_class", "metallurgy", "indian_standard", *[F.try_element_at("props", F.lit(n)).alias(n) for n in ("sour_service", "ce_max", "weldability")])
+
+
 @query(
     "x11_dialect",
     O.sql(
@@ -236,6 +271,39 @@ def records(spark, sf_dir):
     )
 
 
+def hundredths(sql):
+    return f"round(({sql}) / 100.0, 2)::DOUBLE"
+
+
+TABLED = f"""SELECT p_partkey AS doc_id, 'TAB-' || p_partkey AS cert_no, CASE WHEN p_partkey // 2 % 2 = 0 THEN 'ASTM A182 F316' ELSE 'ASTM A105' END AS grade, {hundredths("CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 12 END")} AS c,
+      {hundredths("p_partkey % 50 + 100")} AS mn, {hundredths("p_partkey % 30 + 20")} AS si, 0.03::DOUBLE AS p, 0.01::DOUBLE AS s, {hundredths("p_partkey % 100 + 1650")} AS cr, {hundredths("p_partkey % 60 + 220")} AS mo, {hundredths("p_partkey % 200 + 1100")} AS ni,
+      (p_partkey % 90 + 210)::DOUBLE AS ys, (p_partkey % 80 + 520)::DOUBLE AS ts, p_partkey % 9 + 30.5::DOUBLE AS el FROM part"""
+
+
+def table_records(spark, sf_dir):
+    return certificates.parse_records(V.table_certificates(spark, sf_dir))
+
+
+@query(
+    "m5_chemistry_tables",
+    f"SELECT doc_id, cert_no, grade AS material_grade, c, mn, si, p, s, cr, mo, ni, 8::BIGINT AS elements FROM ({TABLED})",
+)
+def chemistry_tables(spark, sf_dir):
+    """Composition from a header row of symbols and a row of values."""
+    names = {"c": "Carbon", "mn": "Manganese", "si": "Silicon", "p": "Phosphorus", "s": "Sulfur", "cr": "Chromium", "mo": "Molybdenum", "ni": "Nickel"}
+    values = F.map_from_entries(F.transform("chemical_composition", lambda e: F.struct(e["element"], e["value"])))
+    out = table_records(spark, sf_dir).withColumn("m", values)
+    return out.select("doc_id", "cert_no", "material_grade", *[F.try_element_at("m", F.lit(name)).alias(n) for n, name in names.items()], F.size("m").cast("long").alias("elements"))
+
+
+@query("m3_mechanical_tables", f"SELECT doc_id, ys AS yield_strength, ts AS tensile_strength, el AS elongation, 'MPa' AS unit FROM ({TABLED})")
+def mechanical_tables(spark, sf_dir):
+    """Mechanical values from header lines and the same number of value lines."""
+    values = F.map_from_entries(F.transform("mechanical_properties", lambda e: F.struct(e["property"], e["value"])))
+    out = table_records(spark, sf_dir).withColumns({"m": values, "unit": F.try_element_at(F.filter("mechanical_properties", lambda e: e["property"] == "yield_strength"), F.lit(1))["unit"]})
+    return out.select("doc_id", *[F.try_element_at("m", F.lit(n)).alias(n) for n in ("yield_strength", "tensile_strength", "elongation")], "unit")
+
+
 CE = "c + mn / 6.0 + (cr + mo) / 5.0"
 
 
@@ -292,6 +360,11 @@ def warned(limits):
     return " + ".join(f"CASE WHEN {known[e]} BETWEEN {lo} AND {hi} THEN 0 ELSE 1 END" if e in known else "1" for e, (lo, hi) in limits.items())
 
 
+def tabled_warned(limits):
+    known = {"C": "c", "Mn": "mn", "Si": "si", "P": "p", "S": "s", "Cr": "cr", "Mo": "mo", "Ni": "ni"}
+    return " + ".join(f"CASE WHEN {known[e]} BETWEEN {lo} AND {hi} THEN 0 ELSE 1 END" if e in known else "1" for e, (lo, hi) in limits.items())
+
+
 @query(
     "c7_document_conformance",
     O.sql(
@@ -304,6 +377,16 @@ def conformance(spark, sf_dir):
     return out.select("doc_id", "is_certificate", "conforming", "requires_hitl", F.size("warnings").alias("warnings"))
 
 
+@query(
+    "c7_table_conformance",
+    f"""SELECT doc_id, n = 0 AS conforming, n > 0 AS requires_hitl, n AS warnings FROM (SELECT doc_id, CASE WHEN grade LIKE '%F316%' THEN {{F316_WARNED}} ELSE {{A105_WARNED}} END AS n FROM ({TABLED}))""".format(F316_WARNED=tabled_warned(F316), A105_WARNED=tabled_warned(A105)),
+)
+def table_conformance(spark, sf_dir):
+    """Conformance of certificates with full tables; some of them conform."""
+    out = certificates.ingest_documents(V.table_certificates(spark, sf_dir))
+    return out.select("doc_id", "conforming", "requires_hitl", F.size("warnings").alias("warnings"))
+
+
 @query("c8_prose_documents")
 def prose(spark, sf_dir):
     """Whole prose documents through the same ingestion: what is read as a certificate and what goes to review."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import DOMAINS
 from ..functions.sealing import ledger_hash, sorted_json
-from ..operators import catalog, graph, ledger, requisitions as rq, review, stock, training, vectors
+from ..operators import catalog, graph, ledger, requisitions as rq, review, stock, training, vector_lists, vectors
 from . import oracle_views as O
 from . import views as V
 from .match_queries import REST, SAFETY, pair_tables
@@ -49,10 +49,10 @@ STOCK_WALK = """walk AS (
       UNION ALL
       SELECT e.sku_code, e.n, e.event_id, e.event_type,
         CASE WHEN e.event_type = 'CREATE' THEN e.quantity <= w.stock_left ELSE list_contains(w.held, e.requisition_id) END,
-        w.stock_left + CASE WHEN e.event_type = 'CREATE' THEN CASE WHEN e.quantity <= w.stock_left THEN -e.quantity ELSE 0 END WHEN list_contains(w.held, e.requisition_id) THEN e.quantity ELSE 0 END,
+        w.stock_left + CASE WHEN e.event_type = 'CREATE' THEN CASE WHEN e.quantity <= w.stock_left THEN -e.quantity ELSE 0 END WHEN e.event_type = 'REJECT' AND list_contains(w.held, e.requisition_id) THEN e.quantity ELSE 0 END,
         CASE WHEN e.event_type = 'CREATE' THEN CASE WHEN e.quantity <= w.stock_left THEN list_append(w.held, e.requisition_id) ELSE w.held END ELSE list_filter(w.held, lambda x: x <> e.requisition_id) END
       FROM walk w JOIN numbered e ON e.sku_code = w.sku_code AND e.n = w.n + 1)"""
-STOCK_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY sku_code ORDER BY ts, event_id) AS n FROM requisition_events WHERE event_type IN ('CREATE', 'REJECT')"
+STOCK_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY sku_code ORDER BY ts, event_id) AS n FROM requisition_events WHERE event_type IN ('CREATE', 'REJECT', 'DELIVER')"
 
 
 def stock_sql(body):
@@ -74,7 +74,7 @@ def stock_after(spark, sf_dir):
     "q8_active_reservations",
     stock_sql(
         """SELECT w.sku_code, sum(e.quantity)::BIGINT AS reserved_qty, count(*) AS locks FROM walk w JOIN numbered e USING (event_id) WHERE w.event_type = 'CREATE' AND w.granted
-           AND e.requisition_id NOT IN (SELECT e2.requisition_id FROM walk w2 JOIN numbered e2 USING (event_id) WHERE w2.event_type = 'REJECT' AND w2.granted)
+           AND e.requisition_id NOT IN (SELECT e2.requisition_id FROM walk w2 JOIN numbered e2 USING (event_id) WHERE w2.event_type <> 'CREATE' AND w2.granted)
            AND e.ts + INTERVAL 7 DAY > TIMESTAMP '1997-01-01' GROUP BY 1"""
     ),
 )
@@ -696,6 +696,53 @@ def plain_search(spark, sf_dir):
     return vectors.search(q, c, top_k=25, rerank=False).select("query_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
+# every type a request type may be served by; other types serve themselves
+FAMILY = """CASE item_type WHEN 'FLANGE' THEN ['FLANGE', 'FLANGE_WELD_NECK', 'FLANGE_SLIP_ON', 'FLANGE_BLIND'] WHEN 'VALVE' THEN ['VALVE', 'GATE_VALVE', 'BALL_VALVE', 'GLOBE_VALVE']
+      WHEN 'BOLT' THEN ['BOLT', 'STUD_BOLT'] ELSE [item_type] END"""
+STOCKED_TYPE = """CASE WHEN item_type = 'FLANGE' THEN (['FLANGE', 'FLANGE_WELD_NECK', 'FLANGE_SLIP_ON', 'FLANGE_BLIND'])[vec_id % 4 + 1] WHEN item_type = 'VALVE' THEN (['GATE_VALVE', 'BALL_VALVE', 'CHECK_VALVE'])[vec_id % 3 + 1] ELSE item_type END"""
+FAMILY_SIDES = dict(
+    asked=f"SELECT * REPLACE (CASE WHEN item_type = 'STUD_BOLT' AND vec_id % 2 = 0 THEN 'BOLT' WHEN item_type = 'PIPE' AND vec_id % 5 = 0 THEN NULL ELSE item_type END AS item_type) FROM vectors",
+    stocked=f"SELECT * REPLACE ({STOCKED_TYPE} AS item_type) FROM vectors",
+)
+FAMILY_HITS = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS item_id, '{d}' AS domain, {COS.format(d)} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(d)} DESC, c.vec_id) AS rank FROM families q JOIN stocked c ON q.item_type IS NULL OR list_contains(q.family, c.item_type)) WHERE rank <= 25"
+    for d in DOMAINS
+)
+FAMILY_CTES = dict(**FAMILY_SIDES, families=f"SELECT *, {FAMILY} AS family FROM asked", hits=FAMILY_HITS)
+
+
+def family_sides(spark, sf_dir):
+    """Requests by general type (a tenth without one) and stock under specific types."""
+    v, k = V.vectors(spark, sf_dir), F.col("vec_id")
+    kind = F.col("item_type")
+    asked = F.when((kind == "STUD_BOLT") & (F.pmod(k, F.lit(2)) == 0), "BOLT").when((kind == "PIPE") & (F.pmod(k, F.lit(5)) == 0), F.lit(None).cast("string")).otherwise(kind)
+    stocked = F.when(kind == "FLANGE", V.pick(k, ("FLANGE", "FLANGE_WELD_NECK", "FLANGE_SLIP_ON", "FLANGE_BLIND"))).when(kind == "VALVE", V.pick(k, ("GATE_VALVE", "BALL_VALVE", "CHECK_VALVE"))).otherwise(kind)
+    return v.withColumn("item_type", asked).withColumnRenamed("vec_id", "query_id"), v.withColumn("item_type", stocked).withColumnRenamed("vec_id", "item_id")
+
+
+@query("v1_family_hits", O.sql("vectors", "SELECT query_id, item_id, domain, rank, round(score, 6) AS score FROM hits", **FAMILY_CTES))
+def family_hits(spark, sf_dir):
+    """Exact hits of every request among all types that may serve it, through inverted lists."""
+    q, c = family_sides(spark, sf_dir)
+    return vector_lists.search_lists(q, c, 25).select("query_id", "item_id", "domain", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("w2_family_search", O.sql("vectors", "SELECT query_id, item_id, round(cosine, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS n FROM merged WHERE cosine >= 0.70) WHERE n <= 25", **FAMILY_CTES, merged=MERGED))
+def family_search(spark, sf_dir):
+    q, c = family_sides(spark, sf_dir)
+    return vectors.search(q, c, top_k=25, rerank=False, families=True).select("query_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("v1_listed_recall", O.sql("vectors", "SELECT domain, count(*) AS hits, true AS enough FROM hits GROUP BY domain", **FAMILY_CTES))
+def listed_recall(spark, sf_dir):
+    """Whether the nearest lists alone give nine of ten exact hits."""
+    q, c = family_sides(spark, sf_dir)
+    exact = vector_lists.search_lists(q, c, 25).select("query_id", "domain", "item_id")
+    near = vector_lists.search_lists(q, c, 25, exact=False).select("query_id", "domain", "item_id", F.lit(True).alias("found"))
+    both = exact.join(near, ["query_id", "domain", "item_id"], "left").groupBy("domain").agg(F.count("*").alias("hits"), F.count("found").alias("found"))
+    return both.select("domain", "hits", (F.col("found") >= 0.9 * F.col("hits")).alias("enough"))
+
+
 @query("v4_unit_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS before, 1.0::DOUBLE AS after FROM embeddings")
 def unit_vectors(spark, sf_dir):
     from ..functions.vector import norm, unit

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, retrieval
+from ..operators import matching, ranked_retrieval, retrieval
 from ..operators.rules import core
 from ..operators.rules.verdict import evaluate, prepare_side
 from ..functions import safety
@@ -34,6 +34,21 @@ def candidates(spark, sf_dir):
     return found.select("request_id", "sku_code", "filled")
 
 
+# The same items ranked by fit: size 8, metal 4, class 2, word 1.
+RATED = """SELECT *, CASE WHEN fit > 0 THEN 0 ELSE 1 END AS filled, sum(CASE WHEN fit > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id)::BIGINT AS hits FROM (
+      SELECT a.request_id, i.sku_code, 8 * coalesce(i.size_nb_mm = a.size_nb_mm, false)::INT + 4 * coalesce(i.metallurgy ILIKE '%' || a.metallurgy || '%', false)::INT
+        + 2 * coalesce(i.pressure_class >= a.pressure_class, false)::INT + coalesce(i.description ILIKE '%' || a.word || '%', false)::INT AS fit
+      FROM asked a JOIN inventory i ON i.cpse = a.cpse AND i.item_type = a.base_type AND (a.sub_type IS NULL OR i.description ILIKE '%' || a.sub_type || '%'))"""
+RANKED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY fit DESC, sku_code) AS n FROM rated WHERE fit > 0 OR hits < 30) WHERE n <= 50"""
+
+
+@query("j1_ranked_candidates", O.sql("requests inventory", "SELECT request_id, sku_code, filled, fit, hits, greatest(hits - 50, 0) AS cut FROM ranked", asked=ASKED, rated=RATED, ranked=RANKED))
+def ranked_candidates(spark, sf_dir):
+    """The best candidates of each request by fit, and how many more there are."""
+    found = ranked_retrieval.retrieve_ranked(V.requests(spark, sf_dir), V.inventory(spark, sf_dir))
+    return found.select("request_id", "sku_code", "filled", "fit", "hits", "cut")
+
+
 @query("j3_item_types", O.sql("requests", "SELECT request_id, item_type, base_type, sub_type FROM asked", asked=ASKED))
 def item_types(spark, sf_dir):
     base, sub = retrieval.resolve_type(F.col("item_type"))
@@ -373,6 +388,8 @@ MATCH_CTES = dict(
     metals=METAL_TABLE, asked=ASKED, fitting=FITTING, found=FOUND, sides=MATCH_SIDES, scored=MATCH_SCORED, verdict=MATCH_VERDICT,
     features=f"SELECT *, {COSINE} AS cosine FROM verdict", model=MODEL, combined=COMBINED,
 )
+# the same with the candidates that fit best
+BEST_CTES = {k: v for name, body in MATCH_CTES.items() for k, v in ({"rated": RATED, "found": RANKED} if name == "found" else {} if name == "fitting" else {name: body}).items()}
 TIER = "CASE WHEN NOT compatible THEN 'Tier 3' WHEN combined >= 0.95 THEN 'Tier 1' WHEN combined >= 0.8 THEN 'Tier 2' ELSE 'Tier 3' END"
 
 
@@ -386,7 +403,7 @@ TIER = "CASE WHEN NOT compatible THEN 'Tier 3' WHEN combined >= 0.95 THEN 'Tier
     ),
 )
 def match_scores(spark, sf_dir):
-    out = matching.match_requests(V.requests(spark, sf_dir), V.inventory(spark, sf_dir), extract=False)
+    out = matching.match_requests(V.requests(spark, sf_dir), V.inventory(spark, sf_dir), lowest_skus=True)
     return out.select("request_id", "sku_code", F.round("combined_score", 6).alias("combined_score"), "tier", "is_compatible", "mii_compliant", "distance_km", "transit_hours", "unit_cost_inr")
 
 
@@ -401,7 +418,7 @@ def match_scores(spark, sf_dir):
     ),
 )
 def ranked(spark, sf_dir):
-    out = matching.match_requests(V.requests(spark, sf_dir), V.inventory(spark, sf_dir), extract=False, top_k=10)
+    out = matching.match_requests(V.requests(spark, sf_dir), V.inventory(spark, sf_dir), lowest_skus=True, top_k=10)
     return out.select("request_id", "sku_code", "rank", "compatibility_score", "tier", "tier_level")
 
 
@@ -416,7 +433,7 @@ MATCH_CODE = FIRST_CODE.replace("q_type = 'FLANGE'", f"q_type IN ({VALVE_TYPES})
               compatibility_score, tier, is_compatible, violation_code, distance_km, transit_hours FROM
             (SELECT request_id, sku_code, round(combined * 100, 1) AS compatibility_score, {TIER} AS tier, compatible AS is_compatible, {MATCH_CODE} AS violation_code, round({KM}, 1) AS distance_km, round({KM} / 40.0 + 4.0, 1) AS transit_hours FROM combined)
             JOIN (SELECT sku_code, cpse, depot_id, item_type, size_nb_mm, pressure_class, metallurgy FROM inventory) USING (sku_code)""",
-        **MATCH_CTES,
+        **BEST_CTES,
     ),
 )
 def flagship(spark, sf_dir):
@@ -425,7 +442,7 @@ def flagship(spark, sf_dir):
 
 @query(
     "p3_local_content",
-    O.sql("inventory", f"SELECT sku_code, coalesce(make_in_india_class, CASE WHEN local_content_percentage >= 50 THEN 'Class-I' ELSE 'Class-II' END) AS class, {MII} AS compliant, CASE WHEN NOT {MII} THEN 'Make in India Alert: Local content is below 50% (Class-II / Non-Local)' END AS warning FROM inventory"),
+    O.sql("inventory", f"SELECT sku_code, coalesce(make_in_india_class, CASE WHEN local_content_percentage >= 50 THEN 'Class-I' ELSE 'Class-II' END) AS class, {MII} AS compliant, CASE WHEN NOT {MII} THEN 'Less than half of the value is local content' END AS warning FROM inventory"),
 )
 def local_content(spark, sf_dir):
     named, compliant, warning = matching.local_content(F.col("make_in_india_class"), F.col("local_content_percentage"))
@@ -464,5 +481,5 @@ def decided(spark, sf_dir):
         "query_text", F.col("sku_code").alias("source_sku"), F.when(F.pmod("k", F.lit(3)) == 0, "REJECT").otherwise("APPROVE").alias("decision"),
         F.concat(F.lit("Tier "), (F.pmod("k", F.lit(2)) + 1).cast("string")).alias("tier_override"), F.col("k").alias("decided_at"),
     )
-    out = matching.match_requests(requests, stock, decisions=decisions, extract=False)
+    out = matching.match_requests(requests, stock, decisions=decisions, lowest_skus=True)
     return out.select("request_id", "sku_code", "tier", F.contains("explanation", F.lit("HUMAN EXPERT")).alias("decided"))

@@ -186,7 +186,7 @@ def requisition_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stock_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requisition_events(spark, sf_dir).filter(F.col("event_type").isin("CREATE", "REJECT"))
+    return requisition_events(spark, sf_dir).filter(F.col("event_type").isin("CREATE", "REJECT", "DELIVER"))
 
 
 def opening_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,6 +255,40 @@ def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"), grade.alias("grade"))
 
 
+def table_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificates of two grades with a chemistry table and a mechanical table; every second F316 one conforms."""
+    k = _key()
+
+    def hundredths(n):
+        return F.format_string("%.2f", n / 100.0)
+
+    good = F.pmod(k, F.lit(2)) == 0
+    chemistry = F.concat_ws(
+        " ", hundredths(F.when(good, 3).otherwise(12)), hundredths(F.pmod(k, F.lit(50)) + 100), hundredths(F.pmod(k, F.lit(30)) + 20), F.lit("0.030"), F.lit("0.010"),
+        hundredths(F.pmod(k, F.lit(100)) + 1650), hundredths(F.pmod(k, F.lit(60)) + 220), hundredths(F.pmod(k, F.lit(200)) + 1100),
+    )
+    mechanical = F.concat_ws("\n", (F.pmod(k, F.lit(90)) + 210).cast("string"), (F.pmod(k, F.lit(80)) + 520).cast("string"), F.concat((F.pmod(k, F.lit(9)) + 30).cast("string"), F.lit(".5")))
+    text = F.concat(
+        F.lit("MATERIAL TEST CERTIFICATE\nCertificate No: TAB-"), k.cast("string"), F.lit("\nMaterial Grade: ASTM "), pick(F.floor(k / 2), ("A182 F316", "A105")),
+        F.lit("\nChemical Composition (%)\nC | Mn | Si | P | S | Cr | Mo | Ni\n"), chemistry, F.lit("\nMechanical test results\nYield (MPa)\nTensile (MPa)\nElongation (%)\nHardness (HBW)\n"), mechanical, F.lit("\n156"),
+    )
+    return table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text"))
+
+
+def procurement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions that carry every extended field."""
+    k = _key().cast("string")
+    parts = [
+        F.concat(F.lit("IS "), (F.pmod(_key(), F.lit(9000)) + 1000).cast("string")), F.concat(F.lit("OISD-STD-"), (F.pmod(_key(), F.lit(300)) + 100).cast("string")),
+        F.concat(F.lit("EIL SPEC 6-44-"), k), F.concat(F.lit("GEM CATEGORY ID: CAT-"), k), F.concat(F.lit("GEM BID NO: GB-"), k), F.concat(F.lit("CPPP TENDER ID: CT-"), k),
+        F.concat(F.lit("MESC 76.10."), k), F.concat(F.lit("MANUFACTURER: WORKS "), F.pmod(_key(), F.lit(9)).cast("string")), F.concat(F.lit("PRODUCT FORM: "), pick(_key(), ("FORGED", "CAST", "SEAMLESS"))),
+        F.concat(F.lit("COATING "), pick(_key(), ("FBE", "3LPE", "EPOXY"))), F.concat(F.lit("INSPECTION CLASS: IC-"), F.pmod(_key(), F.lit(4)).cast("string")), F.concat(F.lit("DOCUMENT NO: DOC-"), k),
+        F.concat(F.lit("PROJECT: UNIT "), F.pmod(_key(), F.lit(12)).cast("string")), F.concat(F.lit("END CONNECTION "), pick(_key(), ("FLANGED", "THREADED"))), F.concat(F.lit("PO-"), k),
+        F.concat(F.lit("CERTIFICATE NO: CRT-"), k), F.concat(F.lit("TPI: AGENCY "), pick(_key(), ("NORTH", "SOUTH"))),
+    ]
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n", *parts).alias("description"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as recognised text blocks of one page."""
     t = F.col("turn")

@@ -110,7 +110,7 @@ def test_match_and_decisions(spark):
     assert len(rows) == 6
     best = rows["R1", "S1"]
     # the extracted grade IS_2062 is unknown to the rules (0.82); the equivalence lifts the score to 0.95, local content adds 0.03
-    assert best["rank"] == 1 and best["tier"] == "Tier 1" and best["compatibility_score"] == 98.0 and "Dual-Certified" in best["explanation"]
+    assert best["rank"] == 1 and best["tier"] == "Tier 1" and best["compatibility_score"] == 98.0 and "standard agree" in best["explanation"]
     assert best["distance_km"] == 0.0 and best["transit_hours"] == 4.0 and best["unit_cost_inr"] == 5.0
     low = rows["R2", "S2"]
     assert low["tier"] == "Tier 3" and low["violation_code"] == "ASME_B16_5" and low["combined_score"] <= 0.74
