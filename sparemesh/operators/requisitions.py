@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.sealing import gate_pass_seal, sealed
 from .inventory import ALL, search
+from .textjoin import containing
 
 SEARCH_COLUMNS = ("requisition_id", "sku_code", "source_cpse", "target_cpse", "source_depot", "target_depot", "requested_by")
 PENDING = ("PENDING_APPROVAL", "REQUESTED")
@@ -53,18 +54,43 @@ def visible_pairs(reqs: DataFrame, users: DataFrame) -> DataFrame:
     """(username, requisition_id) for many users.
 
     Each of the three reasons is an equi-join; depots first meet users as distinct names, and the
-    pairs are merged at the end.
+    pairs are merged at the end. ``visible_counts`` counts them without listing them.
     """
     mine = reqs.join(users.select("username", F.col("username").alias("requested_by")), "requested_by").select("username", "requisition_id")
     tenant = reqs.join(users.select("username", F.col("cpse").alias("source_cpse")), "source_cpse").select("username", "requisition_id")
-    depots = reqs.select("source_depot").distinct()
-    named = users.filter(F.coalesce("depot_id", F.lit("")) != "").select("depot_id").distinct()
-    # distinct depot names against distinct user depots: both are lists of sites, not of requests
-    linked = depots.join(F.broadcast(named), _mentions(F.col("source_depot"), F.col("depot_id")))
-    depot = reqs.join(linked, "source_depot").join(users.select("username", "depot_id"), "depot_id").select("username", "requisition_id")
+    depot = reqs.join(_linked_depots(reqs, users), "source_depot").join(users.select("username", "depot_id"), "depot_id").select("username", "requisition_id")
     return mine.unionByName(tenant).unionByName(depot).distinct()
 
 
+def _linked_depots(reqs: DataFrame, users: DataFrame) -> DataFrame:
+    """(source_depot, depot_id) where a request's depot name contains a user's depot: distinct names, joined on their rarest letters."""
+    depots = reqs.where("source_depot IS NOT NULL").select("source_depot", F.lower("source_depot").alias("__name")).distinct()
+    named = users.where("depot_id <> ''").select("depot_id", F.lower("depot_id").alias("__part")).distinct()
+    return containing(depots, "__name", named, "__part").select("source_depot", "depot_id")
+
+
+def visible_counts(reqs: DataFrame, users: DataFrame) -> DataFrame:
+    """(username, requisitions): how many requests each user sees, without making a row per user and request.
+
+    Requests are first added up by author, tenant and depot. A user sees the tenant's requests, those of linked depots in other
+    tenants, and own ones in neither; each is a count looked up by an equal key. User names and request ids are unique; users who see none have no row.
+    """
+    groups = reqs.groupBy("requested_by", "source_cpse", "source_depot").agg(F.count("*").alias("__n"))
+    tenant = groups.where("source_cpse IS NOT NULL").groupBy(F.col("source_cpse").alias("cpse")).agg(F.sum("__n").alias("__tenant"))
+    sites = groups.groupBy("source_cpse", "source_depot").agg(F.sum("__n").alias("__n")).join(_linked_depots(reqs, users), "source_depot")
+    both = sites.where("source_cpse IS NOT NULL").groupBy("depot_id", F.col("source_cpse").alias("cpse")).agg(F.sum("__n").alias("__both"))
+    depot = sites.groupBy("depot_id").agg(F.sum("__n").alias("__depot"))
+    own = groups.join(users.select(F.col("username").alias("requested_by"), "cpse", "depot_id"), "requested_by")
+    elsewhere = ~(
+        F.coalesce(F.col("source_cpse") == F.col("cpse"), F.lit(False)) | F.coalesce(_mentions(F.col("source_depot"), F.nullif("depot_id", F.lit(""))), F.lit(False))
+    )
+    own = own.where(elsewhere).groupBy(F.col("requested_by").alias("username")).agg(F.sum("__n").alias("__own"))
+    seen = users.select("username", "cpse", "depot_id").join(tenant, "cpse", "left").join(depot, "depot_id", "left").join(both, ["depot_id", "cpse"], "left").join(own, "username", "left")
+    parts = [F.coalesce(c, F.lit(0)) for c in ("__tenant", "__depot", "__own")]
+    total = parts[0] + parts[1] + parts[2] - F.coalesce("__both", F.lit(0))
+    return seen.select("username", total.alias("requisitions")).where("requisitions > 0")
+
+
 def in_scope(reqs: DataFrame, tab: str, username: str, cpse: str, depot: str | None = None, super_admin: bool = False) -> DataFrame:
     """Tab filter of the request list."""
     if tab == "OUTGOING":

@@ -59,10 +59,15 @@ def rarest_grams(needles: DataFrame, needle: str, texts: DataFrame, text: str) -
 def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str] | None = None) -> DataFrame:
     """Rows of both tables where ``text`` contains ``needle`` (and the ``on`` columns agree).
 
-    A text meets only the needles that start with one of its pieces, so this is a shuffle join on equal
-    keys with the substring test behind it, never a product of the two tables.
+    A text meets only the needles whose rarest piece it has, so this is a shuffle join on equal keys with the substring test behind it,
+    never a product of the two tables. Needles of one or two letters meet the texts on exactly those, so no key is shared by all texts but
+    that of an empty needle, which every text contains. A null text or needle finds nothing.
     """
-    keys = [*(on or []), "__piece"]
-    left = texts.withColumn("__piece", F.explode_outer(pieces(F.col(text))))
-    right = needles.withColumn("__piece", anchor(F.col(needle)))
-    return left.join(right, keys).filter(F.contains(F.col(text), F.col(needle))).drop("__piece")
+    columns = needles.columns
+    held, asked = texts.where(F.col(text).isNotNull()), needles.where(F.col(needle).isNotNull())
+    right = rarest_grams(asked.select(needle).distinct(), needle, held, text).select(F.col(needle).alias("__needle"), F.col("__gram").alias("__piece"))
+    right = asked.join(right, F.col(needle) == F.col("__needle")).select(*columns, "__piece")
+    left = held.withColumn("__piece", F.explode(grams(F.col(text), (0, 1, 2, PIECE))))
+    # texts without a wanted piece end here, before their rows are shuffled with all columns
+    left = left.join(right.select("__piece").distinct(), "__piece", "left_semi")
+    return left.join(right, [*(on or []), "__piece"]).filter(F.contains(F.col(text), F.col(needle))).drop("__piece")

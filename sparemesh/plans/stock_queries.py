@@ -441,7 +441,7 @@ def visible_one(spark, sf_dir):
 
 @query("f8_visible_counts", O.sql("requisitions users", "SELECT username, count(*) AS requisitions FROM requisitions r JOIN users u ON r.requested_by = u.username OR contains(lower(r.source_depot), lower(u.depot_id)) OR r.source_cpse = u.cpse GROUP BY username"))
 def visible_many(spark, sf_dir):
-    return rq.visible_pairs(V.requisitions(spark, sf_dir), V.users(spark, sf_dir)).groupBy("username").agg(F.count("*").alias("requisitions"))
+    return rq.visible_counts(V.requisitions(spark, sf_dir), V.users(spark, sf_dir))
 
 
 @query("f10_incoming_pending", O.sql("requisitions", f"SELECT {REQ} FROM requisitions WHERE (source_cpse = 'T2' OR contains(lower(source_depot), 'jorhat')) AND upper(status) IN ('PENDING_APPROVAL', 'REQUESTED') AND (contains(lower(sku_code), '-1') OR contains(lower(requisition_id), '-1') OR contains(lower(source_cpse), '-1') OR contains(lower(target_cpse), '-1') OR contains(lower(source_depot), '-1') OR contains(lower(target_depot), '-1') OR contains(lower(requested_by), '-1'))"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +48,10 @@ def checkpointed(df):
     """Materialise ``df`` reliably so that later passes see the very same partitions."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df):
+    """``df`` as a Parquet table in the shared checkpoint folder: computed once, and later readers fetch only the columns they use."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

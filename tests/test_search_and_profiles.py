@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparemesh.operators import ranked_retrieval, retrieval, textjoin, vector_lists
+from sparemesh.operators import ranked_retrieval, requisitions, retrieval, textjoin, vector_lists
 from sparemesh.operators.matching import match_requests, parse_requests
 from sparemesh.operators.rules import verdict
 from sparemesh.operators.vectors import search
@@ -163,6 +163,33 @@ def test_rarest_grams(spark):
     assert found["common0 x"] == "0 x" and found["q"] == "q" and found[""] == "" and found["zz"] == "zz" and len(found["nowhere"]) == 3
 
 
+def test_substring_join_of_any_length(spark):
+    """Short, empty, null and repeated needles, and one piece that nearly all texts have."""
+    texts = [(i, f"common depot {i}") for i in range(40)] + [(40, "x"), (41, ""), (42, None), (43, "xy"), (44, "common depot 3"), (45, "ab common")]
+    needles = [(1, "x"), (2, "xy"), (3, "common depot 3"), (4, ""), (5, None), (6, "zzz"), (7, "3"), (8, "com"), (9, "x"), (10, "depot 39")]
+    found = textjoin.containing(spark.createDataFrame(texts, "t long, text string"), "text", spark.createDataFrame(needles, "n long, needle string"), "needle")
+    assert found.columns == ["t", "text", "n", "needle"]
+    want = sorted((t, n) for t, text in texts for n, needle in needles if text is not None and needle is not None and needle in text)
+    assert sorted((r.t, r.n) for r in found.collect()) == want
+
+
+def test_visible_counts_equal_the_listed_pairs(spark):
+    rng = random.Random(11)
+    sites = ["OIL Moran", "Jorhat Yard", "oil moran north", "X", None, ""]
+    reqs = [(f"Q{i}", rng.choice(["a", "b", "c", None]), rng.choice(["T0", "T0", "T1", None]), rng.choice(sites)) for i in range(300)]
+    users = [("a", "T0", "OIL Moran"), ("b", "T1", ""), ("c", None, "jorhat"), ("d", "T9", None), ("e", "T9", "x"), ("f", "T0", "o")]
+    r = spark.createDataFrame(reqs, "requisition_id string, requested_by string, source_cpse string, source_depot string")
+    u = spark.createDataFrame(users, "username string, cpse string, depot_id string")
+    want = {}
+    for name, cpse, depot in users:
+        n = sum(by == name or (cpse is not None and tenant == cpse) or bool(depot and site is not None and depot.lower() in site.lower()) for _, by, tenant, site in reqs)
+        if n:
+            want[name] = n
+    assert {x.username: x.requisitions for x in requisitions.visible_counts(r, u).collect()} == want
+    listed = requisitions.visible_pairs(r, u).groupBy("username").agg(F.count("*").alias("n")).collect()
+    assert {x.username: x.n for x in listed} == want
+
+
 # ---- verdicts by profile ----------------------------------------------------------------------------------
 
 
