@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,13 +16,20 @@ def hash_order(*parts: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed))))
 
 
+def same_keys_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join on key columns where a null key meets a null key; the keys appear once."""
+    other = right.withColumnsRenamed({k: "__r_" + k for k in keys})
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("__r_" + k)) for k in keys])
+    return left.join(other, on).drop(*["__r_" + k for k in keys])
+
+
 def hash_positions(df: DataFrame, groups: list[str], order: str, into: str = "position", total: str = "total") -> DataFrame:
     """Zero-based position of each row in its group by a hex hash column, and the group's size.
 
     A group is cut into ranges by the first hex digits, which are even whatever the data: 4,096 ranges, or
     more when the session has many shuffle partitions. Rows are ranked inside a range; the ranges'
     counts, made by a map-side aggregate, give each range its offset. So a group with most of the
-    rows is still ranked by many tasks.
+    rows is still ranked by many tasks. Null is a group like any other.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     digits = max(3, math.ceil(math.log(16 * tasks, 16)))
@@ -35,7 +43,7 @@ def hash_positions(df: DataFrame, groups: list[str], order: str, into: str = "po
         }
     ).drop("__rows")
     rank = F.row_number().over(Window.partitionBy(*groups, "__range").orderBy(order))
-    out = ranged.withColumn("__rank", rank).join(offsets, [*groups, "__range"])
+    out = same_keys_join(ranged.withColumn("__rank", rank), offsets, [*groups, "__range"])
     return out.withColumn(into, F.coalesce("__offset", F.lit(0)) + F.col("__rank") - 1).drop("__range", "__rank", "__offset")
 
 

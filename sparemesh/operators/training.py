@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.attributes import metallurgy_of, normalize_pressure, normalize_size
 from ..functions.values import number_in
 from ..session import checkpointed
-from .ordering import hash_order, hash_positions
+from .ordering import hash_order, hash_positions, same_keys_join
 
 # Spellings used when spans of known attributes are looked up in descriptions.
 TYPE_SPELLINGS = {
@@ -91,12 +91,14 @@ CATEGORIES = (
 SPEC = ["size_nb_mm", "pressure_class", "metallurgy"]
 
 
-def mine_pairs(items: DataFrame, item_id: str = "item_id", positives: int = 5, negatives: int = 15, seed: int = 42) -> DataFrame:
+def mine_pairs(items: DataFrame, item_id: str = "item_id", positives: int = 5, negatives: int = 15, seed: int = 42, replacement: bool = False) -> DataFrame:
     """Positive and hard negative partners of each item: (query, candidate, label).
 
     Positives share type, size, class and metal; hard negatives share the type only. An item
     alone in its specification is its own positive; an item whose type has one specification gets
-    negatives of other types. Sampling is without replacement.
+    negatives of other types. Items without a type are a type of their own. Sampling is without replacement, so a small group gives fewer partners;
+    with ``replacement`` each draw is a hash of its own (item, kind, number) taken to a place in the group, and every item gets all its
+    positives and negatives, repeated rows included.
 
     Nothing lists the pairs of a group. Items get a position: types in order, specifications inside a
     type, hash order inside a specification. An item's partners are positions computed from its own
@@ -118,7 +120,8 @@ def mine_pairs(items: DataFrame, item_id: str = "item_id", positives: int = 5, n
             "__all": F.sum("__type_size").over(Window.partitionBy(F.lit(0))),
         }
     )
-    placed = placed.join(blocks.drop("__rows"), ["item_type", "__spec"]).join(types, "item_type")
+    placed = same_keys_join(placed, blocks.drop("__rows"), ["item_type", "__spec"])
+    placed = same_keys_join(placed, types, ["item_type"])
     placed = placed.withColumn("__pos", F.col("__type_start") + F.col("__spec_start") + F.col("__in_spec"))
     m, n = F.col("__spec_size"), F.col("__type_size")
     spec_at = F.col("__type_start") + F.col("__spec_start")
@@ -150,6 +153,21 @@ def mine_pairs(items: DataFrame, item_id: str = "item_id", positives: int = 5, n
         lambda o: F.when(o < F.col("__type_start"), o).otherwise(o + n),
     )
     minus = F.when(own_type, outside_spec).when(others > 0, outside_type).otherwise(F.array().cast("array<bigint>"))
+    if replacement:
+
+        def drawn(kind, count, room, place):
+            """``count`` independent places below ``room``."""
+
+            def one(j):
+                digits = F.substring(hash_order(F.col(item_id), F.concat(F.lit(kind), j.cast("string")), seed=seed), 1, 12)
+                return place(F.conv(digits, 16, 10).cast("long") % F.greatest(room, F.lit(1)))
+
+            return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), one)
+
+        plus = drawn("p", positives, m - 1, lambda d: F.when(m > 1, spec_at + (F.col("__in_spec") + 1 + d) % m).otherwise(F.col("__pos")))
+        outside_spec = drawn("n", negatives, n - m, lambda d: F.col("__type_start") + F.when(d < F.col("__spec_start"), d).otherwise(d + m))
+        outside_type = drawn("n", negatives, others, lambda d: F.when(d < F.col("__type_start"), d).otherwise(d + n))
+        minus = F.when(own_type, outside_spec).otherwise(outside_type)
     wanted = placed.filter((n > m) | (others > 0)).select(
         F.col(item_id).alias("query_id"),
         F.explode_outer(
@@ -173,7 +191,7 @@ def pair_features_table(pairs: DataFrame, items: DataFrame, item_id: str, text:
 
 
 def stratified_split(rows: DataFrame, row_id: str, label: str = "label", share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``split``: ceil(share) of each label for validation, by hash order."""
+    """Add ``split``: ceil(share) of each label for validation, by hash order. Rows without a label are split like a label."""
     placed = hash_positions(rows.withColumn("__h", hash_order(F.col(row_id), seed=seed)), [label], "__h", "__pos", "__n")
     # share as a ratio of integers keeps the ceiling exact
     held = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(int(round(share * 100))) / 100))
@@ -188,12 +206,12 @@ def check_labels(rows: DataFrame, label: str = "label") -> None:
 
 
 def group_split(rows: DataFrame, group: str = "canonical_id", share: float = 0.15, seed: int = 42) -> DataFrame:
-    """Add ``split`` so that no group is on both sides; at least one group on each."""
+    """Add ``split`` so that no group is on both sides; at least one group on each. Rows without a group are one group."""
     groups = rows.select(group).distinct().withColumn("__h", hash_order(F.col(group), seed=seed)).withColumn("__one", F.lit(0))
     placed = hash_positions(groups, ["__one"], "__h", "__pos", "__n")
     held = F.least(F.col("__n") - 1, F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("long")))
     sides = placed.select(group, F.when(F.col("__pos") < held, "heldout").otherwise("train").alias("split"))
-    return rows.join(sides, group)
+    return same_keys_join(rows, sides, [group])
 
 
 def area_under_curve(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

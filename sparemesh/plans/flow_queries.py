@@ -522,6 +522,20 @@ def mined_pairs(spark, sf_dir):
     return training.mine_pairs(items(spark, sf_dir))
 
 
+def drawn(kind):
+    return f"('0x' || substring(md5(item_id || '|{kind}' || j || '|42'), 1, 12))::BIGINT"
+
+
+DRAWS = f"""SELECT item_id, 1 AS label, CASE WHEN m > 1 THEN spec_at + (in_spec + 1 + {drawn("p")} % (m - 1)) % m ELSE pos END AS target FROM starts, range(0, 5) r(j) WHERE n > m OR n < (SELECT count(*) FROM starts)
+    UNION ALL SELECT item_id, 0, type_at + CASE WHEN o < spec_at - type_at THEN o ELSE o + m END FROM (SELECT *, {drawn("n")} % (n - m) AS o FROM starts, range(0, 15) r(j) WHERE n > m)
+    UNION ALL SELECT item_id, 0, CASE WHEN o < type_at THEN o ELSE o + n END FROM (SELECT *, {drawn("n")} % (total - n) AS o FROM (SELECT *, count(*) OVER () AS total FROM starts), range(0, 15) r(j) WHERE n = m AND n < total)"""
+
+
+@query("l1_sampled_pairs", O.sql("parts", "SELECT t.item_id AS query_id, s.item_id AS candidate_id, label FROM draws t JOIN starts s ON s.pos = t.target", positioned=POSITIONED, starts=STARTS, draws=DRAWS))
+def sampled_pairs(spark, sf_dir):
+    return training.mine_pairs(items(spark, sf_dir), replacement=True)
+
+
 def labelled(spark, sf_dir):
     return V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
 
@@ -531,7 +545,7 @@ def split(spark, sf_dir):
     return training.stratified_split(labelled(spark, sf_dir), "row_id")
 
 
-@query("l3_group_split", O.sql("", "SELECT doc_id AS row_id, source, CASE WHEN n <= least(total - 1, greatest(1, round_even(total * 0.15, 0))) THEN 'heldout' ELSE 'train' END AS split FROM documents JOIN (SELECT source, row_number() OVER (ORDER BY md5(source || '|42')) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT source FROM documents)) USING (source)"))
+@query("l3_group_split", O.sql("", "SELECT doc_id AS row_id, documents.source, CASE WHEN n <= least(total - 1, greatest(1, round_even(total * 0.15, 0))) THEN 'heldout' ELSE 'train' END AS split FROM documents JOIN (SELECT source, row_number() OVER (ORDER BY md5(coalesce(source || '|', '') || '42')) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT source FROM documents)) g ON g.source IS NOT DISTINCT FROM documents.source"))
 def group_split(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "source")
     return training.group_split(docs, "source").select("row_id", "source", "split")

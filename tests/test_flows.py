@@ -197,6 +197,32 @@ def test_mined_pairs(spark):
             assert all(spec[c][0] == spec[query][0] and spec[c] != spec[query] for c in sides[0])
 
 
+def test_pairs_drawn_with_replacement(spark):
+    """Every item gets all its draws, however small its group; items without a type are a type; one item alone has no negatives and no rows."""
+    rows = [(i, ("A", "B", None)[i % 3], float(i % 4), 150, "m") for i in range(36)] + [(100, "C", 1.0, 150, "m"), (101, "C", 1.0, 150, None)]
+    schema = "item_id long, item_type string, size_nb_mm double, pressure_class int, metallurgy string"
+    spec = {x[0]: x[1:] for x in rows}
+    found = defaultdict(lambda: {0: [], 1: []})
+    for p in training.mine_pairs(spark.createDataFrame(rows, schema), replacement=True).collect():
+        found[p["query_id"]][p["label"]].append(p["candidate_id"])
+    assert set(found) == set(spec)
+    for query, sides in found.items():
+        alone = sum(s == spec[query] for s in spec.values()) == 1
+        assert len(sides[1]) == 5 and len(sides[0]) == 15
+        assert all(spec[c] == spec[query] and (alone or c != query) for c in sides[1])
+        assert all(spec[c][0] == spec[query][0] and spec[c] != spec[query] for c in sides[0])
+    assert len({c for sides in found.values() for c in sides[0]}) == len(rows)
+    assert training.mine_pairs(spark.createDataFrame(rows[:1], schema), replacement=True).count() == 0
+
+
+def test_rows_without_a_group_stay(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(100)], "row_id int, label int")
+    counts = Counter((r["label"], r["split"]) for r in training.stratified_split(rows, "row_id").collect())
+    assert counts == {(k, s): n for k in (None, 1) for s, n in (("train", 40), ("validation", 10))}
+    grouped = training.group_split(rows.withColumnRenamed("label", "canonical_id")).collect()
+    assert len(grouped) == 100 and len({(r["canonical_id"], r["split"]) for r in grouped}) == 2
+
+
 def test_splits(spark):
     rows = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(501)], "row_id int, label int")
     counts = Counter((r["label"], r["split"]) for r in training.stratified_split(rows, "row_id").collect())
