@@ -234,7 +234,7 @@ def methods(spark, sf_dir):
     return docs.withColumn("confidence", certificates.method_confidence(F.col("method")))
 
 
-@query("k9_document_ledger", "SELECT doc_id, md5(substring(text, 1, 50000)) AS raw_text_md5 FROM documents")
+@query("k9_document_ledger", "SELECT doc_id, md5(text) AS raw_text_md5 FROM documents")
 def document_ledger(spark, sf_dir):
     rows = certificates.ledger_rows(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.md5("raw_text").alias("raw_text_md5"))
