@@ -56,6 +56,26 @@ def test_exact_lists_with_families(spark, clusters):
     assert found == plain_hits(rows, asked, 9)
 
 
+@pytest.mark.parametrize("tile_rows", [50, 65536])
+def test_near_lists_in_tiles(spark, tile_rows):
+    """With room for all lists the nearest ones give the exact hits, also where lists lie in several tiles."""
+    rows, asked, queries, corpus = vector_tables(spark)
+    found = {}
+    for r in vector_lists.search_lists(queries, corpus, 9, least_rows=20, tile_rows=tile_rows, exact=False, mass=1e9).orderBy("rank").collect():
+        found.setdefault((r.query_id, r.domain), []).append(r.item_id)
+    assert found == plain_hits(rows, asked, 9)
+
+
+def test_a_query_moves_to_tiles_not_to_lists(spark, monkeypatch):
+    """What comes back of the search is a row for each query, domain and tile, however many lists there are."""
+    _, _, queries, corpus = vector_tables(spark)
+    kept, ranked = [], vector_lists._ranked
+    monkeypatch.setattr(vector_lists, "_ranked", lambda hits, *a: kept.append(hits) or ranked(hits, *a))
+    one = {"blocks": F.array(F.lit("")), "block": "nothing", "least_rows": 20}
+    vector_lists.search_lists(queries, corpus.withColumn("nothing", F.lit("")), 3, **one)
+    assert kept[0].count() == kept[0].select("query_id", "domain").distinct().count() == 4 * 7 - 1  # one query has no vector in one domain
+
+
 def test_empty_tables(spark):
     _, _, queries, corpus = vector_tables(spark, n=150)
     assert vector_lists.search_lists(queries, corpus.limit(0), 3).collect() == []
