@@ -176,6 +176,29 @@ def test_a_late_sku_is_found(spark):
     assert ranked.sku_code == "Z" and match_requests(request, items, extract=False, lowest_skus=True).where("sku_code = 'Z'").count() == 0
 
 
+def test_items_are_written_once(spark, monkeypatch):
+    """Items that a search cannot tell apart are one row in every step but the first, in words and lists too."""
+    kept = []
+    for name in ("written", "checkpointed"):
+        make = getattr(ranked_retrieval, name)
+        monkeypatch.setattr(ranked_retrieval, name, lambda df, make=make: kept.append(make(df)) or kept[-1])
+    items = spark.createDataFrame([(f"S{i:03}", "T1", "VALVE", "Gate forged valve", 50.0, 300, "SS304") for i in range(200)], ITEMS)
+    request = spark.createDataFrame([("R", "T1", "GATE_VALVE", "gate valve", 50.0, 300, "SS304")], REQUESTS)
+    found = ranked_retrieval.retrieve_ranked(request, items)
+    assert [r.sku_code for r in found.orderBy("sku_code").collect()] == [f"S{i:03}" for i in range(50)]
+    assert {(r.fit, r.hits, r.cut) for r in found.collect()} == {(15, 200, 150)}
+    assert [n for n in (df.count() for df in kept) if n > 3] == [200]
+
+
+def test_cells_tell_nulls_apart(spark):
+    """A missing metal with a text and that text as metal are different cells."""
+    stock = [("S1", "T1", "PIPE", None, None, None, "abc"), ("S2", "T1", "PIPE", "abc", None, None, None)]
+    request = spark.createDataFrame([("R", "T1", "PIPE", "zzz", None, None, "abc")], REQUESTS)
+    found = ranked_retrieval.retrieve_ranked(request, spark.createDataFrame(stock, ITEMS))
+    assert [(r.sku_code, r.fit) for r in found.orderBy("sku_code").collect()] == [("S1", 4), ("S2", 0)]
+
+
+
 def test_rarest_grams(spark):
     texts = spark.createDataFrame([(f"common{i % 3} rare",) for i in range(30)] + [("common0 xyz",), ("q",)], "text string")
     needles = spark.createDataFrame([("common0 x",), ("q",), ("",), ("zz",), ("nowhere",)], "needle string")
