@@ -301,3 +301,16 @@ def test_sorted_json(spark):
     row = spark.createDataFrame([("v", 3, None, 1.5, True)], "b string, a int, c string, d double, e boolean")
     got = row.select(sorted_json({n: F.col(n) for n in row.columns})).first()[0]
     assert got == json.dumps({"b": "v", "a": 3, "c": None, "d": 1.5, "e": True}, sort_keys=True)
+
+
+def test_surplus_from_the_items_alone(spark):
+    """A wanted class is served by itself and by every class above it; nothing but the items and the ladder is read."""
+    wanted = spark.createDataFrame([("R1", "PIPE", "50.0 mm", "150#", "SS304"), ("R2", "PIPE", "50.0 mm", "900#", "SS304"), ("R3", "PIPE", "50.0 mm", "300#", None)], "request_id string, item_type string, size_value string, class_value string, metal_value string")
+    stock = [("S1", 150), ("S2", 300), ("S3", 600), ("S4", 900)]
+    items = spark.createDataFrame(
+        [(sku, "T0", "D0", "PIPE", 50.0, kind, "SS304", 1, 0, 1.0) for sku, kind in stock],
+        "sku_code string, cpse string, depot_id string, item_type string, size_nb_mm double, pressure_class int, metallurgy string, quantity int, days_idle int, unit_cost_inr double",
+    )
+    ladder = spark.createDataFrame([("300#", "SAFE_UPGRADE_FOR", "150#"), ("600#", "SAFE_UPGRADE_FOR", "300#")], "src string, rel string, dst string")
+    found = graph.compatible_surplus(wanted, graph.item_payload(items), ladder)
+    assert sorted((r.request_id, r.sku_code) for r in found.collect()) == [("R1", "S1"), ("R1", "S2"), ("R1", "S3"), ("R2", "S4")]
