@@ -116,7 +116,7 @@ def sizes(spark, sf_dir):
         F.concat(n, F.lit(" mm")), F.concat(n, F.lit("inch")), F.concat(n, F.lit('/8"')), F.concat(n, F.lit(" 1/2 IN")), F.concat(F.lit("DN"), n), F.concat(n, F.lit(" kg")), F.concat(n, F.lit('/0"')),
     )
     raw = F.get(forms, F.pmod(K, F.lit(7)).cast("int"))
-    return V.table(spark, sf_dir, "part").withColumn("raw", raw).select(K, F.round(normalize_size(F.col("raw")), 6).alias("size"))
+    return V.dealt_parts(spark, sf_dir).withColumn("raw", raw).select(K, F.round(normalize_size(F.col("raw")), 6).alias("size"))
 
 
 PN = (6, 10, 16, 25, 40, 50, 63, 64, 80, 100, 150, 250, 320, 420, 37)
@@ -128,7 +128,7 @@ def pressures(spark, sf_dir):
     pn = V.pick(F.col(K), PN).cast("string")
     forms = F.array(F.concat(F.lit("PN "), pn), F.concat(F.lit("XPN"), pn), F.lit("600 lbs"), F.concat(F.lit("pn-"), pn, F.lit(", CLASS 300")))
     raw = F.get(forms, F.pmod(K, F.lit(4)).cast("int"))
-    return V.table(spark, sf_dir, "part").withColumn("raw", raw).select(K, normalize_pressure(F.col("raw")).alias("class"))
+    return V.dealt_parts(spark, sf_dir).withColumn("raw", raw).select(K, normalize_pressure(F.col("raw")).alias("class"))
 
 
 @query("x15_metal_ranks", O.sql("parts", "SELECT p_partkey, CASE metallurgy WHEN 'ASTM A105' THEN 0 WHEN 'ASTM A350 LF2' THEN 1 WHEN 'SS304' THEN 2 WHEN 'SS304L' THEN 2 WHEN 'SS316' THEN 2 END AS rank FROM parts"))
@@ -412,7 +412,7 @@ def symbol_docs(spark, sf_dir):
         F.lit("Grade: "), V.pick(k, V.GRADES), F.lit("\nFLANGE DN"), F.col("p_size").cast("string"), F.lit(" CLASS 300 SCH 40 RF\nC: 0."), two(F.pmod(k, F.lit(30)) + 10), F.lit("% Mn = "),
         (F.pmod(k, F.lit(50))).cast("string"), F.lit(" Cr: "), F.pmod(k, F.lit(20)).cast("string"), F.lit(".5\nYield Strength: "), (F.pmod(k, F.lit(200)) + 180).cast("string"), F.lit(" MPa\nElongation: 26 %"),
     )
-    return V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return V.dealt_parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
 @query("m9_symbol_chemistry", O.sql("", "SELECT p_partkey AS doc_id, (p_partkey % 30 + 10) / 100.0::DOUBLE AS c, CASE WHEN p_partkey % 50 <= 35 THEN (p_partkey % 50)::DOUBLE END AS mn, p_partkey % 20 + 0.5::DOUBLE AS cr, (p_partkey % 200 + 180)::DOUBLE AS ys, 26.0::DOUBLE AS el FROM part"))
