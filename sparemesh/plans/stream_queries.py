@@ -20,11 +20,14 @@ def scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(spark, df, name: str, files: int = 4):
-    """The rows of a table as a stream of several file batches."""
+def as_stream(spark, df, name: str, batches: int = 4):
+    """The rows of a table as a stream of some batches; each is several files, so that one task does not read a batch alone."""
     path = scratch(spark, name)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = 2 * spark.sparkContext.defaultParallelism
+    df.repartition(batches * files).write.parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    # a single batch takes whatever there is
+    return (reader.option("maxFilesPerTrigger", files) if batches > 1 else reader).parquet(path)
 
 
 def collected(spark, stream, name: str, schema: str):
@@ -82,7 +85,7 @@ def backfilled(spark, sf_dir):
 def stock_stream(spark, sf_dir):
     """Stock outcomes of the streamed events; one batch, so time order holds throughout."""
     stateful.use_rocksdb(spark)
-    stream = as_stream(spark, V.stock_events(spark, sf_dir), "stock", files=1)
+    stream = as_stream(spark, V.stock_events(spark, sf_dir), "stock", batches=1)
     return collected(spark, stateful.stock_stream(stream, V.opening_stock(spark, sf_dir)), "stock", stateful.STOCK_RESULT)
 
 
@@ -112,7 +115,7 @@ def bursts(spark, sf_dir):
 def guarded(spark, sf_dir):
     """Decision per event with windows that start at a subject's first event."""
     stateful.use_rocksdb(spark)
-    stream = as_stream(spark, security_events(spark, sf_dir), "guard", files=1)
+    stream = as_stream(spark, security_events(spark, sf_dir), "guard", batches=1)
     return collected(spark, stateful.guarded(stream, limit=4, seconds=4 * 3600), "guard", stateful.BURST_RESULT)
 
 

@@ -13,3 +13,42 @@ def test_texts_of_parts_are_dealt_over_all_cores(spark, sf_dir, view):
     assert sum(sizes) == V.table(spark, sf_dir, "part").count()
     assert sum(size > 0 for size in sizes) >= 2 * spark.sparkContext.defaultParallelism
     assert max(sizes) <= sum(sizes) / 4
+
+
+def test_streamed_batches_are_several_files(spark, sf_dir):
+    from sparemesh.plans.stream_queries import as_stream, collected
+
+    rows = V.table(spark, sf_dir, "events").select("event_id")
+    cores = spark.sparkContext.defaultParallelism
+    for batches in (1, 4):
+        tagged = as_stream(spark, rows, "spread", batches=batches).selectExpr("event_id", "input_file_name() AS file", "spark_partition_id() AS task")
+        found = collected(spark, tagged, "spread", "event_id long, file string, task int").toPandas()
+        assert sorted(found["event_id"]) == sorted(r[0] for r in rows.collect())
+        assert found["file"].nunique() >= 2 * batches * cores and found["task"].nunique() > 1
+
+
+def test_chain_in_blocks_is_one_chain(spark):
+    from pyspark.sql import functions as F
+
+    from sparemesh.operators import ledger
+
+    rows = spark.range(1000).select(
+        F.col("id").alias("log_id"), F.timestamp_seconds(F.floor((1000 - F.col("id")) / 7)).alias("timestamp"), F.lit("a").alias("actor_name"),
+        F.lit("b").alias("action_name"), F.col("id").cast("string").alias("reference_id"), F.lit("{}").alias("details"),
+    )
+    whole = sorted(map(tuple, ledger.append_batch(rows).collect()))
+    cut = ledger.append_batch(rows, block_rows=150)
+    assert sorted(map(tuple, cut.collect())) == whole
+    assert cut.rdd.getNumPartitions() > 1 and len(cut.inputFiles()) == 7
+    assert ledger.verify_chain(cut).first()["is_valid"]
+
+
+def test_first_places_keep_the_order_of_equal_scores():
+    import numpy as np
+
+    from sparemesh.operators.vectors import first_places
+
+    scores = np.random.default_rng(3).integers(0, 9, (50, 400)).astype(float)
+    scores[7] = 1.0
+    for keep in (1, 25, 399, 400):
+        assert (first_places(scores, keep) == np.argsort(-scores, axis=1, kind="stable")[:, :keep]).all()
