@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sealing import GENESIS, ledger_hash, sealed, sorted_json
-from ..session import checkpointed
+from ..session import checkpoint_dir, checkpointed
 from .inventory import ALL, search
 from .ordering import page
 
@@ -56,32 +59,46 @@ def request_hash(columns: dict):
     return F.sha2(sorted_json(columns), 256)
 
 
-def append_batch(pending: DataFrame, last_hash: str = GENESIS) -> DataFrame:
+def append_batch(pending: DataFrame, last_hash: str = GENESIS, block_rows: int = 500_000) -> DataFrame:
     """Chain a batch of new entries after ``last_hash``.
 
-    A hash chain is serial by definition: each hash needs the one before. The row texts are prepared
-    in parallel and sorted; then one task folds them as a stream of blocks, with only the
-    last hash in hand. A batch is what arrived since the last append, not the ledger.
+    A hash chain is serial by definition: each hash needs the one before. The row texts are prepared in parallel and dealt by
+    ranges of time into blocks of about ``block_rows`` entries, written to the checkpoint folder. One task after the other sorts and folds
+    one block and hands its last hash on, so no task holds more than a block, however large the batch is.
     """
     fields = ("log_id", "timestamp", "actor_name", "action_name", "reference_id", "details")
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in fields])
     rest = [c for c in pending.columns if c not in ("prev_hash", "sha256_hash")]
-    ready = pending.select(*rest, text.alias("__text")).repartitionByRange(1, *ORDER).sortWithinPartitions(*ORDER)
-
-    def chain(frames):
-        import hashlib
-
-        previous = last_hash
-        for pdf in frames:
-            before, after = [], []
-            for body in pdf["__text"]:
-                before.append(previous)
-                previous = hashlib.sha256(f"{previous}|{body}".encode()).hexdigest()
-                after.append(previous)
-            yield pdf.drop(columns="__text").assign(prev_hash=before, sha256_hash=after)
-
-    schema = ready.drop("__text").withColumn("prev_hash", F.lit("")).withColumn("sha256_hash", F.lit("")).schema
-    return ready.mapInPandas(chain, schema)
+    spark = pending.sparkSession
+    folder = f"{checkpoint_dir(spark)}/chain-{uuid.uuid4().hex}"
+    ready = pending.select(*rest, text.alias("__text"))
+    blocks = max(1, -(-pending.count() // block_rows))
+    dealt = ready.repartitionByRange(blocks, *ORDER).withColumn("__block", F.spark_partition_id())
+    dealt.write.partitionBy("__block").parquet(f"{folder}/pending")
+    stored = spark.read.schema(dealt.schema).parquet(f"{folder}/pending")
+    schema = ready.drop("__text").withColumns({"prev_hash": F.lit(""), "sha256_hash": F.lit(""), "__n": F.lit(0).cast("long")}).schema
+
+    def chained(rows: DataFrame, start: str) -> DataFrame:
+        def chain(frames):
+            previous, n = start, 0
+            for pdf in frames:
+                before, after = [], []
+                for body in pdf["__text"]:
+                    before.append(previous)
+                    previous = hashlib.sha256(f"{previous}|{body}".encode()).hexdigest()
+                    after.append(previous)
+                yield pdf.drop(columns="__text").assign(prev_hash=before, sha256_hash=after, __n=range(n, n + len(pdf)))
+                n += len(pdf)
+
+        return rows.repartition(1).sortWithinPartitions(*ORDER).mapInPandas(chain, schema)
+
+    previous, paths = last_hash, []
+    for block in range(blocks):
+        paths.append(f"{folder}/chained-{block}")
+        chained(stored.filter(F.col("__block") == block).drop("__block"), previous).write.parquet(paths[-1])
+        last = spark.read.schema(schema).parquet(paths[-1]).agg(F.max_by("sha256_hash", "__n")).first()[0]
+        previous = last or previous
+    return spark.read.schema(schema).parquet(*paths).drop("__n")
 
 
 def check_chain(ledger: DataFrame, partitions: int | None = None, row=F.col) -> DataFrame:
