@@ -38,6 +38,18 @@ def _tiles(df: DataFrame, block: str, key: str, tile_rows: int, into: str) -> tu
     return cut.drop("__tiles_" + into), sizes
 
 
+def first_places(scores: np.ndarray, keep: int) -> np.ndarray:
+    """Of each row the places of its ``keep`` highest scores, highest first; equal scores by place. Only what reaches the last of them is sorted."""
+    low = -scores
+    if keep >= low.shape[1] or np.isnan(low).any():
+        return np.argsort(low, axis=1, kind="stable")[:, :keep]
+    row, place = np.nonzero(low <= np.partition(low, keep - 1, axis=1)[:, keep - 1 : keep])
+    order = np.lexsort((place, low[row, place], row))
+    row, place = row[order], place[order]
+    first = np.searchsorted(row, np.arange(len(low)))
+    return place[first[:, None] + np.arange(keep)]
+
+
 def top_by_domain(
     queries: DataFrame, corpus: DataFrame, k: int, block: str = "block", query_id: str = "query_id", item_id: str = "item_id",
     domains=DOMAINS, tile_rows: int = 4096,
@@ -75,8 +87,7 @@ def top_by_domain(
                 for at in range(0, len(q), 512):
                     rows = q.iloc[at : at + 512]
                     scores = np.stack(rows[domain].to_numpy()).astype(np.float64) @ items.T
-                    # stable sort on the negated score: equal scores stay in id order
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+                    order = first_places(scores, keep)
                     parts.append(
                         pd.DataFrame(
                             {
