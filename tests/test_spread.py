@@ -52,3 +52,17 @@ def test_first_places_keep_the_order_of_equal_scores():
     scores[7] = 1.0
     for keep in (1, 25, 399, 400):
         assert (first_places(scores, keep) == np.argsort(-scores, axis=1, kind="stable")[:, :keep]).all()
+
+
+def test_requests_are_dealt_before_they_are_parsed(spark, sf_dir):
+    sizes = V.requests(spark, sf_dir).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(size > 0 for size in sizes) >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_expected_tiers_count_equal_pairs(spark):
+    from sparemesh.operators.rules.verdict import expected_versus_actual
+
+    rows = spark.createDataFrame([("A", "X", ["v"], 3), ("A", "X", [], 4), ("B", "X", [], 5)], "expected_tier string, compatibility_tier string, rule_violations array<string>, times long")
+    weighed = sorted(map(tuple, expected_versus_actual(rows, times="times").collect()))
+    assert weighed == [("A", "X", 7, 3), ("B", "X", 5, 0)]
+    assert sorted(map(tuple, expected_versus_actual(rows).collect())) == [("A", "X", 2, 1), ("B", "X", 1, 0)]
