@@ -138,10 +138,10 @@ def _open_slots(docs: DataFrame, lengths: tuple[int, ...], slots: int, most: int
 class Tally:
     """What a task has found so far: per language, length and fingerprints the number of occurrences and the place in the smallest id.
 
-    Rows of equal fingerprints are added up whenever ``most`` have gathered; they go on when the task ends or too many differ.
+    Rows of equal fingerprints are added up whenever ``most`` have gathered; they go on when the task ends or more than half of those differ.
     """
 
-    def __init__(self, most: int = 2_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.most, self.langs, self.parts, self.size = most, {}, [], 0
 
     def add(self, *columns: np.ndarray) -> None:
@@ -150,8 +150,9 @@ class Tally:
         self.size += len(columns[0])
 
     def full(self) -> bool:
-        if self.size > self.most:
-            self.merge()
+        if self.size <= self.most:
+            return False
+        self.merge()
         return self.size > self.most // 2
 
     def merge(self) -> None:
@@ -216,8 +217,10 @@ def _occurrences(longest: int, opened, bits: int):
     return run
 
 
-def _joined_words(words: Words, places: list[int], n: list[int]) -> pa.Array:
+def _joined_words(words: Words, places: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The phrases of ``n`` words from ``places`` on. It unfolds the batch's words, so a batch calls it once, not once a row."""
     raw, starts, ends = words.data.tobytes(), words.starts.tolist(), words.ends.tolist()
+    places, n = places.tolist(), n.tolist()
     return pa.array([b" ".join([raw[starts[i] : ends[i]] for i in range(p, p + k)]) for p, k in zip(places, n, strict=True)], pa.binary()).cast(pa.string())
 
 
@@ -226,11 +229,12 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in byte_slices(whole, "text"):
             words = Words(batch.column("text"), fold=True, blank=APART)
-            for r, lang in enumerate(batch.column("lang").to_pylist()):
-                listed = batch.column("places")[r].values
-                n, place, begin = listed.field("n"), listed.field("place").to_pylist(), int(words.first[r])
-                phrases = _joined_words(words, [begin + p for p in place], n.to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), n, listed.field("a"), phrases], names=["lang", "n", "a", "phrase"])
+            places = batch.column("places")
+            rows = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            listed = places.flatten()
+            n = listed.field("n")
+            phrases = _joined_words(words, np.asarray(words.first)[rows] + listed.field("place").to_numpy(), n.to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(rows)), n, listed.field("a"), phrases], names=["lang", "n", "a", "phrase"])
 
 
 def _recounted(longest: int, opened, shared, bits: int):
@@ -244,7 +248,7 @@ def _recounted(longest: int, opened, shared, bits: int):
                 for n, at, prints in grams.passing(tuple(sorted(known)), opened.value, known):
                     slots = (mix64(prints, n) & np.uint64(8 * len(listed) - 1)).astype(np.int64)
                     at = at[(listed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0]
-                    phrases = _joined_words(grams.words, at.tolist(), [n] * len(at))
+                    phrases = _joined_words(grams.words, at, np.full(len(at), n))
                     found = Counter(zip([grams.langs[r] for r in grams.rows[at].tolist()], phrases.to_pylist(), strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([n] * len(found), pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array([k[1] for k in found], pa.string())], names=["lang", "n", "a", "phrase"])
 
@@ -281,6 +285,9 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, text:
     closed slots lose nothing; they only keep most rare n-grams out of the shuffle. The table is ``slots`` / 8 bytes
     (2 MB) at any size of the input.
 
+    A task sends its slots and each frequent phrase it meets once, so the number of tasks follows the cores and not the input: else
+    both would be sent as often as there are parts to read, and the frequent phrases themselves grow with the input.
+
     Then the fingerprints left are counted in one shuffle, each with one pointer (text, word number). Occurrences are held against the
     words at their batch's pointer, batches against each other by a second, independent 64-bit polynomial. Fingerprints found with different words
     are counted again by their words, in a pass that runs only if there are any. The pointers of the frequent ones are
@@ -289,7 +296,7 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, text:
     if min_count < 1 or longest < 1 or slots & (slots - 1) or slots < 8:
         raise ValueError("min_count and longest must be positive, slots a power of two from 8 on")
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).coalesce(2 * spark.sparkContext.defaultParallelism)
     slim, most = rows.select("lang", "text"), min(min_count, 255)
     table = np.zeros(slots // 8, dtype=np.uint8)
     known: set[int] = set()

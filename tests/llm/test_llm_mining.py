@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparemesh.llm import collocations as mining
 from sparemesh.llm.collocations import collocations, phrase_counts
 from sparemesh.llm.common import Words
 from sparemesh.llm.operator_queries import looped, op12_periodic_runs
@@ -175,6 +176,51 @@ def test_collocations_of_rare_words_and_empty(spark):
         collocations(docs, min_count=0)
 
 
+def test_tasks_follow_the_cores(spark, monkeypatch):
+    """A task sends each frequent phrase once, so parts of the input must not each be a task of their own."""
+    tasks, made = spark.sparkContext.accumulator(0), mining._occurrences
+
+    def counted(*args):
+        run = made(*args)
+
+        def count(batches):
+            tasks.add(1)
+            yield from run(batches)
+
+        return count
+
+    monkeypatch.setattr(mining, "_occurrences", counted)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("one two").alias("text")).repartition(60)
+    found = {tuple(r) for r in phrase_counts(docs).collect()}
+    assert found == {("en", 0, "", 1200), ("en", 1, "one", 600), ("en", 1, "two", 600), ("en", 2, "one two", 600)}
+    assert 0 < tasks.value <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_tally_is_full_of_different_rows_only():
+    column = lambda x: np.array(x, dtype=np.int64)
+    tally, none = mining.Tally(10), column([0] * 4)
+    tally.langs["en"] = 0
+    for _ in range(9):
+        tally.add(none, none + 1, column([5, 6, 7, 8]), none, none + 2, none, none, none)
+        assert not tally.full()
+    (rows,) = tally.rows()
+    assert rows.column("print").to_pylist() == [5, 6, 7, 8] and rows.column("times").to_pylist() == [18] * 4
+    tally.add(*[column(range(11))] * 8)
+    assert tally.full()
+
+
+def test_phrases_are_read_back_batch_by_batch(monkeypatch):
+    calls, joined = [], mining._joined_words
+    monkeypatch.setattr(mining, "_joined_words", lambda *args: calls.append(1) or joined(*args))
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("place", pa.int64()), ("a", pa.int64())]))
+    rows = [("de", "x y", []), ("en", "A b; c", [(1, 0, 7), (2, 0, 8), (1, 2, 9)]), ("fr", None, []), ("fr", "d e f", [(2, 1, 5)])]
+    places = pa.array([[{"n": n, "place": p, "a": a} for n, p, a in r[2]] for r in rows], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string()), places], names=["lang", "text", "places"])
+    out = pa.Table.from_batches(mining._read_back(iter([batch.slice(1)]))).to_pylist()
+    assert [tuple(r.values()) for r in out] == [("en", 1, 7, "a"), ("en", 2, 8, "a b"), ("en", 1, 9, "c"), ("fr", 2, 5, "e f")]
+    assert len(calls) == 1
+
+
 def test_word_numbers_hold_with_equal_hashes():
     words = Words(pa.array(["one two one", "three two  tw o", None]))
     words.hashes = words.hashes & np.uint64(1)
