@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, components, discard, mix64, repeated, stored
+from .common import Words, byte_slices, components, discard, mix64, repeated, stored, trimmed
 
 # PartEnum: each first-level part of the domain is cut into two (of many parts) or three, and one of them may be left out.
 MANY = 64
@@ -161,7 +161,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
     checked exactly on the texts. No link between different components is lost, and none inside a component is needed.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = stored(rows.mapInArrow(_sketch(width, percent), SKETCH), "sets")
+    sketch = stored(rows.mapInArrow(trimmed(_sketch(width, percent)), SKETCH), "sets")
     classes = sketch.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"))
     members = stored(sketch.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left").select("doc_id", "n", "id"), "members")
     nodes = stored(sketch.join(classes.where("id IS NOT NULL"), ["n", "a", "b"]).where("doc_id = id").select("id", "n", *ODD, "signed"), "classes")
@@ -194,7 +194,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
         pairs = stored(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), f"pairs-{turn}")
         tested = pairs if tested is None else tested.union(pairs)
         text_of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"), F.col("sum").alias(f"{c}_sum"))
-        found = pairs.join(text_of("y"), "y").join(text_of("x"), "x").mapInArrow(_similar(width, percent), "x long, y long")
+        found = pairs.join(text_of("y"), "y").join(text_of("x"), "x").mapInArrow(trimmed(_similar(width, percent)), "x long, y long")
         found = stored(found.select(F.col("x").alias("a"), F.col("y").alias("b")), f"links-{turn}")
         links = found if links is None else links.union(found)
         component = components(links, "component")

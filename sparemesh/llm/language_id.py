@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import byte_slices, discard, stored
+from .common import byte_slices, discard, stored, trimmed
 
 # A word of more bytes is cut: the network never runs over more than this many steps.
 MOST_BYTES = 32
@@ -175,7 +175,7 @@ def counted_pieces(sample: DataFrame) -> DataFrame:
                 found.update((lang, piece) for w in BLANKS.findall(text) if lettered(w) for piece in word_pieces(w))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["lang", "piece", "n"])
 
-    return sample.mapInArrow(count, "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(trimmed(count), "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 def training_draws(counts: DataFrame, draws: int, seed: int) -> DataFrame:
@@ -216,13 +216,24 @@ def fit_languages(docs: DataFrame, per_language: int = 320, most_languages: int
 
 
 class Pooling:
-    """Documents' language probabilities; words met before in this task are not run again."""
+    """Documents' language probabilities; words met before in this task are not run again.
 
-    def __init__(self, model: ByteGru, most_kept: int = 400_000):
+    Beyond ``most_kept`` words only those stay that were met again after they were learned; any other is run anew when it comes back.
+    So a task's memory is bounded and common words are run once.
+    """
+
+    def __init__(self, model: ByteGru, most_kept: int = 150_000):
         self.model, self.most_kept = model, most_kept
         self.known: dict[str, int] = {}
+        self.again: set[str] = set()
         self.table = np.zeros((0, len(model.languages) + 1))
 
+    def _forget(self) -> None:
+        kept = [w for w in self.known if w in self.again]
+        kept = kept if len(kept) <= self.most_kept // 2 else []
+        self.table = self.table[[self.known[w] for w in kept]]
+        self.known, self.again = {w: i for i, w in enumerate(kept)}, set()
+
     def _learn(self, words: list[str]) -> None:
         good = [w for w in words if lettered(w)]
         rows = np.zeros((len(words), self.table.shape[1]))
@@ -244,8 +255,10 @@ class Pooling:
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         found = [BLANKS.findall(t) if t else [] for t in texts]
         if len(self.known) > self.most_kept:
-            self.known, self.table = {}, self.table[:0]
-        new = {w for ws in found for w in ws} - self.known.keys()
+            self._forget()
+        met = {w for ws in found for w in ws}
+        new = met - self.known.keys()
+        self.again |= met - new
         if new:
             self._learn(sorted(new))
         languages, scores = [], []
@@ -283,7 +296,8 @@ def identify_languages(docs: DataFrame, mark: str | None = None, **fit) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooling = Pooling(model) if model else None
         for whole in batches:
-            for batch in byte_slices(whole, "text", 4 << 20):
+            # a text's words take some ten times its bytes
+            for batch in byte_slices(whole, "text", 1 << 20):
                 texts = batch.column("text").to_pylist()
                 languages, scores = pooling.judge(texts) if pooling else (["und"] * len(texts), [0.0] * len(texts))
                 columns = [*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
@@ -291,4 +305,4 @@ def identify_languages(docs: DataFrame, mark: str | None = None, **fit) -> DataF
                     columns.append(pa.array([t is not None and lettered(t) for t in texts], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score", *([mark] if mark else [])])
 
-    return docs.mapInArrow(run, schema).withColumn("held_out", is_held_out("doc_id"))
+    return docs.mapInArrow(trimmed(run), schema).withColumn("held_out", is_held_out("doc_id"))

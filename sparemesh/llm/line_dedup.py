@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, mix64, stored
+from .common import byte_slices, mix64, stored, trimmed
 
 BLANKS = " \t\n\x0b\x0c\r"
 FOLDED = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -135,7 +135,7 @@ def _row_counts(rows: DataFrame, min_chars: int, text: str, doc_id: str, by: lis
                     names=["h1", "h2", "n", "last"],
                 )
 
-    found = rows.select(doc_id, text).mapInArrow(count, "h1 long, h2 long, n long, last long")
+    found = rows.select(doc_id, text).mapInArrow(trimmed(count), "h1 long, h2 long, n long, last long")
     return found.groupBy("h1", "h2", *(["last"] if by else [])).agg(F.sum("n").alias("n"), *([] if by else [F.max("last").alias("last")]))
 
 
@@ -223,7 +223,7 @@ def _probed(rows: DataFrame, probe, of: int, min_chars: int, min_docs: int, text
                 k = batch.schema.get_field_index("__drop")
                 yield batch.set_column(k, batch.schema.field(k), pa.array(drop, batch.schema.field(k).type))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _rewritten(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -249,5 +249,5 @@ def _rewritten(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
                 dropped = pa.array(np.diff(drops.offsets.to_numpy()), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("__rest"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), dropped], names=["__rest", "text", "n_lines", "n_dropped"])
 
-    done = slim.mapInArrow(run, schema)
+    done = slim.mapInArrow(trimmed(run), schema)
     return done.select(*[F.col("text").alias(c) if c == text else F.col(f"__rest.`{c}`") for c in keep], "n_lines", "n_dropped")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, trimmed
 
 PIECES = "start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
@@ -166,5 +166,5 @@ def pack_documents(
         frame["doc_id"] = pd.array(frame.doc_id, dtype="Int64")
         return frame
 
-    encoded = rows.mapInArrow(encode, "doc_id long, place long, ids binary").withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(groups)).cast("long"))
+    encoded = rows.mapInArrow(trimmed(encode), "doc_id long, place long, ids binary").withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(groups)).cast("long"))
     return encoded.groupBy("grp").applyInPandas(pack, "doc_id long, " + PIECES)

@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparemesh.llm.common import trimmed
 from sparemesh.llm.language_id import ByteGru, Pooling, identify_languages, training_draws
 from sparemesh.llm.quality_ratio import quality_filter, text_statistics
 from sparemesh.llm.url_filter import GlobAutomaton, filter_urls
@@ -197,6 +199,38 @@ def test_forward_pass_and_pooling():
         assert lang == model.languages[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-5)
 
 
+def test_pooling_keeps_common_words_only():
+    """Words met once leave when the table is full, common ones are run once; the judgements stay."""
+    model = ByteGru(["a", "b"], hidden=4)
+    model.start(3)
+    small, large, runs = Pooling(model, most_kept=40), Pooling(model), []
+    learn = small._learn
+    small._learn = lambda words: runs.append(words) or learn(words)
+    for i in range(30):
+        texts = ["the of and " + " ".join(f"w{i}x{k}" for k in range(20)), None, "and the"]
+        (langs, scores), (wanted, exact) = small.judge(texts), large.judge(texts)
+        assert langs == wanted and np.allclose(scores, exact)
+        assert len(small.known) == len(small.table) <= 40 + 23
+    assert sum(w == "the" for words in runs for w in words) == 1
+
+
+def test_memory_goes_back_when_a_task_ends():
+    """What a task held is free again, although its worker lives on."""
+    def run(batches):
+        held = [bytes(1000 + i % 7) for i in range(200_000)]
+        yield from batches
+        assert held
+
+    def used():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    before = used()
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    assert list(trimmed(run)(iter([batch]))) == [batch]
+    assert used() < before + 60
+
+
 def test_language_edges(spark):
     rows = [(i, ("the thing of " if i % 2 else "der und schön ") * 8, "en" if i % 2 else "de", "old") for i in range(200)]
     rows += [(900, None, "en", "x"), (901, "", None, "x"), (902, "123 ### !", "en", "x"), (903, "the", None, None), (None, "und der", "de", None), (904, "thing" * 4000, None, "x"), rows[5]]
