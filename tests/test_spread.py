@@ -66,3 +66,24 @@ def test_expected_tiers_count_equal_pairs(spark):
     weighed = sorted(map(tuple, expected_versus_actual(rows, times="times").collect()))
     assert weighed == [("A", "X", 7, 3), ("B", "X", 5, 0)]
     assert sorted(map(tuple, expected_versus_actual(rows).collect())) == [("A", "X", 2, 1), ("B", "X", 1, 0)]
+
+
+def test_pairs_are_checked_without_patterns_and_folds(spark, sf_dir):
+    from sparemesh.functions import safety
+    from sparemesh.plans import all_queries, match_queries as M
+
+    def above_joins(df):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return "\n".join(lines[: next(i for i, line in enumerate(lines) if "Join Inner" in line)])
+
+    # what stands above the joins runs for each pair: no regular expression, and no lambda, which is interpreted with all it is given
+    for name in ("r39_classified_pairs", "r40_search_tier", "r38_allowed_substitutes", "p8_ranking_features", "p10_ranking_score"):
+        step = above_joins(all_queries()[name](spark, sf_dir))
+        assert not [word for word in ("regexp", "RLIKE", "lambda", "aggregate(", "filter(") if word in step], name
+    pairs = M.pair_sides(spark, sf_dir, prepared=False)
+    q, c = safety.pair_sides(pairs.columns)
+    assert "regexp" not in above_joins(pairs.select(safety.safety_violations(q, c)))
+
+    # the pairs are dealt by the key they are joined on next: one exchange for distinct rows and join
+    plan = M.asked_pairs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(c#") == 1 and plan.count("hashpartitioning(q#") == 0

@@ -166,3 +166,21 @@ def test_classification(spark):
     df, q, c = pair(spark, None, 100.0, None, None, None, None, 150.0, None, None, None)
     no = df.select(safety.classify(q, c, F.lit(0.99), none).alias("r")).first()["r"]
     assert (no["tier"], no["confidence"], no["routing"]) == ("Tier-4-Reject", 0.0, "manual-entry")
+
+
+def test_classified_pairs_equal_the_struct(spark):
+    sides = [("GATE_VALVE", 100.0, 600, "A105", "API 600"), ("FLANGE", 150.0, None, "F316L", None), (" ", None, 300, "", "API 608"), (None, 100.0, 150, "SS316", "API-600")]
+    table = spark.createDataFrame(sides, "item_type string, size_nb_mm double, pressure_class int, metallurgy string, standard string")
+    known = safety.side_columns(table)
+    q, c = (known.select(*[F.col(n).alias(p + n) for n in known.columns]) for p in ("q_", "c_"))
+    pairs = q.crossJoin(c).withColumns({"s": F.lit(0.9), "e": F.array(F.lit("size mismatch"), F.lit("size mismatch"))})
+    bare = [n for n in pairs.columns if n[2:] in table.columns]
+    fields = ["tier", "confidence", "routing", "reasons", "violations"]
+    for earlier in (None, F.col("e")):
+        none = F.array().cast("array<string>") if earlier is None else earlier
+        made = safety.classify_pairs(pairs, "s", earlier).select(*bare, *fields)
+        # the struct reads the texts themselves, not what was added to the sides
+        want = pairs.withColumn("r", safety.classify(*safety.pair_sides(bare), F.col("s"), none)).select(*bare, *["r." + f for f in fields])
+        assert sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
+    both = pairs.select(F.size(safety.all_violations(*safety.pair_sides(pairs.columns), F.col("e"))).alias("n"))
+    assert both.agg(F.max("n")).first()[0] > 1
