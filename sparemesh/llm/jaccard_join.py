@@ -17,6 +17,10 @@ from .common import Words, byte_slices, components, discard, mix64, repeated, st
 MANY = 64
 # Bits of a set's parity sketch: 64 for each of these columns.
 ODD = [f"o{i}" for i in range(8)]
+# Signatures are kept in so many columns by their first bits; one column after the other is shuffled, so the disk holds a part of them twice, not all.
+SLICES = 8
+# Up to so many ids of texts to be compared are broadcast to the texts; beyond it the join shuffles.
+MOST_NAMED = 1_000_000
 
 
 def most_apart(total: int, percent: int) -> int:
@@ -82,6 +86,31 @@ def parity_sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def sized_sketch(elements: np.ndarray) -> bytes | None:
+    """The same parities over cells in proportion to the set, three for four elements or more; none where ``parity_sketch`` has as many.
+
+    In 512 cells long sets look alike: some 256 cells differ whatever the sets. The number of cells is a power of two, so the sketch of a larger
+    set folds to the cells of a smaller one.
+    """
+    cells = 64 * len(ODD)
+    while 4 * cells < 3 * len(elements):
+        cells *= 2
+    if cells == 64 * len(ODD):
+        return None
+    bits = np.bincount((mix64(elements, 25) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Differing cells of two sized sketches, the larger one folded to the cells of the other; never more than the sets differ in elements."""
+    small, large = sorted((x, y), key=len)
+    folded, bits = int.from_bytes(large, "little"), 8 * len(large)
+    while bits > 8 * len(small):
+        bits //= 2
+        folded = (folded >> bits) ^ (folded & ((1 << bits) - 1))
+    return (folded ^ int.from_bytes(small, "little")).bit_count()
+
+
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     """Of each text the distinct hashes of its ``width`` consecutive words, A-Z lower-cased; a shorter text is one shingle, none is empty."""
     words = Words(column, fold=True)
@@ -96,10 +125,13 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-SKETCH = "doc_id long, n long, a long, b long, " + ", ".join(f"{o} long" for o in ODD) + ", signed array<long>"
+SIGNED = [f"signed{k}" for k in range(SLICES)]
+SKETCH = "doc_id long, n long, a long, b long, " + ", ".join(f"{o} long" for o in ODD) + ", sized binary, " + ", ".join(f"{c} array<long>" for c in SIGNED)
 
 
 def _sketch(width: int, percent: int):
+    firsts = np.array([k * (1 << 64) // SLICES for k in range(SLICES)], dtype=np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text"):
@@ -107,11 +139,17 @@ def _sketch(width: int, percent: int):
                 a = np.array([mix64(s, 26).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                 b = np.array([mix64(s, 27).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                 odd = np.array([parity_sketch(s) for s in sets]).reshape(len(sets), len(ODD))
-                lists = [signatures(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-                ends = np.cumsum([0, *(len(x) for x in lists)]).astype(np.int32)
+                sized = pa.array([sized_sketch(s) for s in sets], pa.binary())
+                lists = [signatures(s, percent) if len(s) else np.zeros(0, np.uint64) for s in sets]  # each in order, so a slice is a range
+                cuts = [np.searchsorted(x, firsts) for x in lists]
+                signed = []
+                for k in range(SLICES):
+                    parts = [x[c[k] : c[k + 1] if k + 1 < SLICES else len(x)].view(np.int64) for x, c in zip(lists, cuts, strict=True)]
+                    ends = np.cumsum([0, *(len(x) for x in parts)]).astype(np.int32)
+                    signed.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), *[pa.array(odd[:, i].copy()) for i in range(len(ODD))], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))],
-                    names=["doc_id", "n", "a", "b", *ODD, "signed"],
+                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), *[pa.array(odd[:, i].copy()) for i in range(len(ODD))], sized, *signed],
+                    names=["doc_id", "n", "a", "b", *ODD, "sized", *SIGNED],
                 )
 
     return run
@@ -146,6 +184,18 @@ def _may_be_similar(percent: int):
     return sizes & (differ * (100 + percent) <= (100 - percent) * (F.col("x_n") + F.col("y_n")))
 
 
+def _sized_may_be_similar(percent: int):
+    """The pairs whose sized sketches allow it, and those without them. Never drops a similar pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(*(batch.column(c).to_pylist() for c in ("x_n", "y_n", "x_sized", "y_sized")), strict=True)
+            keep = [x is None or y is None or sketch_distance(x, y) * (100 + percent) <= (100 - percent) * (m + n) for m, n, x, y in sides]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -159,17 +209,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
     then a random one. A last pass compares what the hubs did not connect: only members of different
     components, only those whose sizes and parity sketches allow a link. Each candidate is
     checked exactly on the texts. No link between different components is lost, and none inside a component is needed.
+
+    Disk: signatures, several times the rest, are shuffled slice by slice and go as soon as the shared ones are known; only texts of candidates are copied.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = stored(rows.mapInArrow(trimmed(_sketch(width, percent)), SKETCH), "sets")
     classes = sketch.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"))
     members = stored(sketch.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left").select("doc_id", "n", "id"), "members")
-    nodes = stored(sketch.join(classes.where("id IS NOT NULL"), ["n", "a", "b"]).where("doc_id = id").select("id", "n", *ODD, "signed"), "classes")
+    sole = classes.where("id IS NOT NULL")
+    one_each = lambda *columns: sketch.join(sole, ["n", "a", "b"]).where("doc_id = id").select("id", *columns)
+    nodes = stored(one_each("n", *ODD, "sized"), "classes")
+    shared = None
+    for column in SIGNED:
+        part = stored(repeated(one_each(F.explode(column).alias("sig")), ["sig"]), "shared")
+        shared = part if shared is None else shared.union(part)
     discard(sketch)
-    shared = stored(repeated(nodes.select("id", F.explode("signed").alias("sig")), ["sig"]), "shared")
-    facts = nodes.select("id", "n", *ODD)
+    facts, sized = nodes.select("id", "n", *ODD), nodes.select("id", "n", "sized")
     weight = shared.groupBy("id").agg(F.count("*").alias("w"))
-    texts = stored(rows.join(weight.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", "text", F.xxhash64("text", F.lit(1)).alias("sum")), "texts")
 
     links = component = tested = None
     for turn in range(rounds + 1):
@@ -191,11 +247,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
             apart = (F.col("x") < F.col("y")) & (F.col("x_component") != F.col("y_component")) & _may_be_similar(percent)
             left, right = side("x").alias("l"), side("y").alias("r")
             pairs = left.join(right, (F.col("l.sig") == F.col("r.sig")) & apart).select("x", "y").distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), f"pairs-{turn}")
+        pairs = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
+        side = lambda c: sized.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sized").alias(f"{c}_sized"))
+        pairs = stored(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(trimmed(_sized_may_be_similar(percent)), "x long, y long"), f"pairs-{turn}")
         tested = pairs if tested is None else tested.union(pairs)
+        named = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+        named = F.broadcast(named) if named.count() <= MOST_NAMED else named
+        texts = stored(rows.join(named, "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text", F.lit(1)).alias("sum")), "texts")
         text_of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"), F.col("sum").alias(f"{c}_sum"))
         found = pairs.join(text_of("y"), "y").join(text_of("x"), "x").mapInArrow(trimmed(_similar(width, percent)), "x long, y long")
         found = stored(found.select(F.col("x").alias("a"), F.col("y").alias("b")), f"links-{turn}")
+        discard(texts)
         links = found if links is None else links.union(found)
         component = components(links, "component")
     out = members.join(component, "id", "left")

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from sparemesh.llm import jaccard_join
 from sparemesh.llm.common import Words, components
-from sparemesh.llm.jaccard_join import ODD, jaccard_components, most_apart, parity_sketch, signatures
+from sparemesh.llm.jaccard_join import ODD, jaccard_components, most_apart, parity_sketch, signatures, sized_sketch, sketch_distance
 from sparemesh.llm.line_dedup import build_perfect_hash, dedup_lines, find_slots, line_key
 from sparemesh.llm.substring_dedup import level_lengths, remove_repeats
 
@@ -178,6 +179,40 @@ def test_jaccard_join(spark, width, percent):
     assert Counter(tuple(r) for r in found) == brute_components(rows, width, percent)
 
 
+def test_sized_sketches_bound_the_difference_and_tell_long_sets_apart():
+    rng = np.random.default_rng(4)
+    for n in (500, 800, 1500, 6000):
+        a, rest = (np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for _ in range(2))
+        assert (sized_sketch(a) is None) == (n <= 682)
+        for kept in (n, n - 9, n // 2, 0):
+            b = np.concatenate([a[:kept], rest[: (n - kept) * 5 // 4]])
+            if sized_sketch(a) and sized_sketch(b):
+                differ = sketch_distance(sized_sketch(a), sized_sketch(b))
+                assert differ == sketch_distance(sized_sketch(b), sized_sketch(a)) <= len(a) + len(b) - 2 * kept
+                assert kept > n // 2 or differ * 180 > 20 * (len(a) + len(b))
+
+
+def test_only_texts_of_candidates_are_copied(spark, monkeypatch):
+    """Long texts with one passage in common share signatures; their texts are neither stored nor compared."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words(700)
+    rows = [(i, " ".join(words(500) + passage + words(800))) for i in range(8)]
+    rows += [(20, rows[0][1] + " end"), (21, rows[1][1] + " end")]
+    copied, store = [], jaccard_join.stored
+
+    def seen(df, label):
+        out = store(df, label)
+        if label == "texts":
+            copied.extend(r["doc_id"] for r in out.select("doc_id").collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", seen)
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in found) == brute_components(rows, 5, 80)
+    assert sorted(copied) == [0, 1, 20, 21]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (100, 300), (300, 300)], "a long, b long")
     found = dict(components(links, "test").collect())
