@@ -25,8 +25,9 @@ def catalog_csv(spark, sf_dir):
 @query("k1_rewritten_catalog", O.sql("inventory", "SELECT sku_code, cpse, CAST(days_idle AS VARCHAR) AS days_idle, status FROM inventory"))
 def rewritten(spark, sf_dir):
     source, target = scratch(spark, "raw"), scratch(spark, "normal")
-    writers.write_csv(raw_catalog(spark, sf_dir), source)
-    writers.rewrite_catalog(catalog.normalize_catalog(readers.catalog_csv(spark, source)), target, source)
+    # plain text would take several times the space of the tables, twice
+    writers.write_csv(raw_catalog(spark, sf_dir), source, compression="gzip")
+    writers.rewrite_catalog(catalog.normalize_catalog(readers.catalog_csv(spark, source)), target, source, compression="gzip")
     return readers.catalog_csv(spark, target).select("sku_code", "cpse", "days_idle", "status")
 
 

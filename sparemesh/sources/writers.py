@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 PAIR_OUTPUT = ("query", "candidate", "cosine", "dim_cosine", "met_cosine", "pt_cosine", "std_cosine", "label")
 
 
-def write_csv(df: DataFrame, path: str, byte_order_mark: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, byte_order_mark: bool = False, compression: str = "none") -> None:
     """Rows as CSV with a header; quotes are doubled and values with a comma, quote or line break quoted.
 
     The output is a folder of part files. ``byte_order_mark`` puts the mark before the first header name
-    of each part, for spreadsheet programs.
+    of each part, for spreadsheet programs. ``compression`` (``gzip``, ...) is for files that only jobs read.
     """
     flat = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     if byte_order_mark:
         flat = flat.withColumnRenamed(flat.columns[0], "﻿" + flat.columns[0])
-    flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("compression", compression).csv(path)
 
 
-def rewrite_catalog(df: DataFrame, path: str, source: str) -> None:
+def rewrite_catalog(df: DataFrame, path: str, source: str, compression: str = "none") -> None:
     """A normalised catalog under a new path; never over the files it is read from."""
     if path.rstrip("/") == source.rstrip("/"):
         raise ValueError("the normalised catalog needs a path of its own")
-    write_csv(df, path)
+    write_csv(df, path, compression=compression)
 
 
 def write_pairs(df: DataFrame, path: str) -> None:
