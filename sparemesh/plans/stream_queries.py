@@ -78,7 +78,7 @@ def backfilled(spark, sf_dir):
     root = scratch(spark, "backfilled")
     stream = as_stream(spark, V.outbox(spark, sf_dir), "outbox")
     changes.backfill_and_follow(V.inventory(spark, sf_dir), stream, root, scratch(spark, "backfilled-state"), once=True).awaitTermination()
-    return changes.current_records(spark, root).select("sku_code", "quantity")
+    return changes.current_records(spark, root, columns=["sku_code", "quantity"])
 
 
 @query("st6_stock_stream", stock_sql("SELECT w.sku_code, event_id, e.requisition_id, w.event_type, e.quantity, w.granted, w.stock_left FROM walk w JOIN numbered e USING (event_id) WHERE w.n > 0"))

@@ -29,7 +29,6 @@ REQUISITION = (
 )
 TABLES = {"inventory_items": ("sku_code", ITEM), "requisitions": ("requisition_id", REQUISITION)}
 OPERATIONS = ("INSERT", "UPDATE", "DELETE")
-BACKFILL = -1
 
 
 def outbox_stream(spark: SparkSession, path: str, max_files: int = 50) -> DataFrame:
@@ -69,7 +68,7 @@ def apply_batch(root: str):
     def apply(batch: DataFrame, number: int) -> None:
         rows = parsed(batch).persist()
         try:
-            part = f"batch={number:012d}" if number >= 0 else "batch=backfill"
+            part = f"batch={number:012d}"
             good = rows.filter("status = 'PROCESSED'").select("id", "table_name", "operation", "record_key", "payload")
             last_changes(good).write.mode("overwrite").parquet(f"{root}/changes/{part}")
             failed = rows.filter("status = 'FAILED'").select("id", "table_name", "operation", "record_id", "payload", "error_message")
@@ -91,11 +90,17 @@ def stored_changes(spark: SparkSession, root: str, kind: str = "changes") -> Dat
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{kind}")
 
 
-def current_records(spark: SparkSession, root: str, table: str = "inventory_items") -> DataFrame:
-    """Live records of a table after all stored changes."""
+def current_records(spark: SparkSession, root: str, table: str = "inventory_items", columns: list[str] | None = None) -> DataFrame:
+    """Live records of a table after all stored changes, all columns or the given ones; only what is asked for is read from the payloads and shuffled."""
     _, schema = TABLES[table]
-    last = last_changes(stored_changes(spark, root).filter(F.col("table_name") == table))
-    return last.filter("operation <> 'DELETE'").select(F.from_json("payload", schema).alias("r")).select("r.*")
+    if columns:
+        schema = ", ".join(field for field in schema.split(", ") if field.split(" ")[0] in columns)
+    rows = stored_changes(spark, root).filter(F.col("table_name") == table)
+    if not columns:
+        last = last_changes(rows).filter("operation <> 'DELETE'").select(F.from_json("payload", schema).alias("r"))
+        return last.select("r.*")
+    read = rows.select("table_name", "record_key", "id", "operation", F.from_json("payload", schema).alias("r"))
+    return last_changes(read).filter("operation <> 'DELETE'").select(*[F.col("r")[c].alias(c) for c in columns])
 
 
 def current_edges(spark: SparkSession, root: str, keep_stale: bool = False) -> DataFrame:
@@ -124,11 +129,24 @@ def backfill(items: DataFrame, root: str, table: str = "inventory_items") -> boo
     if not is_empty(spark, root):
         return False
     key, _ = TABLES[table]
-    rows = items.filter(F.coalesce(F.col(key), F.lit("")) != "").select(
+    kept = items.filter(F.coalesce(F.col(key), F.lit("")) != "")
+    body = kept.select(
         F.lit(-1).cast("long").alias("id"), F.lit(table).alias("table_name"), F.lit("INSERT").alias("operation"),
-        F.col(key).alias("record_id"), F.to_json(F.struct(*items.columns)).alias("payload"), F.lit(None).cast("timestamp").alias("created_at"),
+        F.col(key).cast("string").alias("record_key"), F.to_json(F.struct(*items.columns)).alias("payload"),
     )
-    apply_batch(root)(rows, BACKFILL)
+    # such rows cannot fail, and only those of repeated keys need a choice: the wide payloads of the others are neither kept nor shuffled
+    groups = kept.groupBy(F.col(key).cast("string").alias("record_key")).agg(F.count("*").alias("n"))
+    total, most = groups.agg(F.sum("n"), F.max("n")).first()
+    last = body
+    if most and most > 1:
+        repeated = groups.filter("n > 1").select("record_key")
+        chosen = last_changes(body.join(repeated, "record_key", "left_semi")).select(body.columns)
+        last = body.join(repeated, "record_key", "left_anti").select(body.columns).union(chosen)
+    last.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/changes/batch=backfill")
+    none = spark.createDataFrame([], "id long, table_name string, operation string, record_id string, payload string, error_message string")
+    none.write.mode("overwrite").parquet(f"{root}/failed/batch=backfill")
+    counts = spark.createDataFrame([("PROCESSED", total)] if total else [], "status string, events long")
+    counts.write.mode("overwrite").parquet(f"{root}/counts/batch=backfill")
     return True
 
 
